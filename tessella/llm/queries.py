@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tessella.llm import pii, secrets, urlfilter, warc
+from tessella.llm import bpe, langid, pii, secrets, simhash, urlfilter, warc
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark, sf_dir):
+    return langid.language_predictions(_table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark, sf_dir):
     return pii.pii_digest(_table(spark, sf_dir, "documents"))
 
@@ -17,6 +21,10 @@ def op5_warc(spark, sf_dir):
     return warc.warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op6_simhash(spark, sf_dir):
+    return simhash.simhash_digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark, sf_dir):
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -25,8 +33,12 @@ def op8_secrets(spark, sf_dir):
     return secrets.secrets_digest(_table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark, sf_dir):
+    return bpe.bpe_digest(_table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op4_pii, op5_warc, op7_url_filter, op8_secrets)}
+    return {f.__name__: f for f in (op3_language_id, op4_pii, op5_warc, op6_simhash, op7_url_filter, op8_secrets, op9_bpe)}
 
 
 OP5_SQL = """
