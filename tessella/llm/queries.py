@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, langid, pii, secrets, simhash, urlfilter, warc
+from tessella.llm import bpe, decontam, langid, media, pii, secrets, simhash, urlfilter, warc
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media_chunks(spark, sf_dir):
+    return media.media_round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark, sf_dir):
     return langid.language_predictions(_table(spark, sf_dir, "documents"))
 
@@ -37,8 +41,12 @@ def op9_bpe(spark, sf_dir):
     return bpe.bpe_digest(_table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark, sf_dir):
+    return decontam.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    return {f.__name__: f for f in (op3_language_id, op4_pii, op5_warc, op6_simhash, op7_url_filter, op8_secrets, op9_bpe)}
+    return {f.__name__: f for f in (op1_media_chunks, op3_language_id, op4_pii, op5_warc, op6_simhash, op7_url_filter, op8_secrets, op9_bpe, op10_decontamination)}
 
 
 OP5_SQL = """
