@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, decontam, langid, media, pii, secrets, simhash, urlfilter, warc
+from tessella.llm import bpe, decontam, langid, media, pii, secrets, simhash, tokencount, urlfilter, warc
 
 
 def _table(spark, sf_dir, name):
@@ -13,6 +13,10 @@ def op1_media_chunks(spark, sf_dir):
     return media.media_round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark, sf_dir):
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark, sf_dir):
     return langid.language_predictions(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_media_chunks, op3_language_id, op4_pii, op5_warc, op6_simhash, op7_url_filter, op8_secrets, op9_bpe, op10_decontamination)}
+    return {f.__name__: f for f in (op1_media_chunks, op2_token_counts, op3_language_id, op4_pii, op5_warc, op6_simhash, op7_url_filter, op8_secrets, op9_bpe, op10_decontamination)}
 
 
 OP5_SQL = """

@@ -29,7 +29,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it again: lineage ends here, lost executors
     cost only the task that ran, and no kernel above runs twice."""
     path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
