@@ -42,8 +42,6 @@ FRAME, RATE, TAIL, HEADER = 192, 8000, 16, 44
 CUT_BITS, LEAST, MOST = 12, 1024, 32768
 WINDOW = 32
 LEVEL = 9
-#: Bits of the filter of files that share chunks; three bits a file.
-FILTER_BITS = 1 << 24
 
 
 def gear_table() -> np.ndarray:
@@ -147,22 +145,7 @@ def chunk_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, file long, names array<binary>")
 
 
-def _filter(keys: DataFrame, bits: int) -> np.ndarray:
-    """Bloom filter of keys (file), as bytes of bits; gathered word by word, at most bits / 8 bytes in all."""
-    at = F.array(*[F.shiftrightunsigned("file", s).bitwiseAND(F.lit(bits - 1)) for s in (0, 20, 40)])
-    words = keys.select(F.explode(at).alias("at")).groupBy(F.shiftright("at", 5).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(31)).cast("int"))).alias("b"))
-    out = np.zeros(bits // 32, np.uint32)
-    got = words.toArrow()
-    out[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.uint32)
-    return out
-
-
-def _maybe(words: np.ndarray, key: int, bits: int) -> bool:
-    key &= (1 << 64) - 1
-    return all(int(words[(at := key >> s & bits - 1) >> 5]) >> (at & 31) & 1 for s in (0, 20, 40))
-
-
-def build_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
+def build_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = storage.FILTER_BITS) -> DataFrame:
     """Write the store of docs to folder and return it (columns NAMES): lacks are positions of chunks
     kept elsewhere, lends of chunks that others lack, packed the kept chunks, compressed."""
     spark = docs.sparkSession
@@ -176,17 +159,17 @@ def build_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         F.sort_array(F.collect_set(F.when(~keeps, F.col("pos")))).alias("lacks"), F.sort_array(F.collect_set(F.when(keeps, F.col("pos")))).alias("lends")
     )
     shared = storage.cut(shared, "shared")
-    sent = spark.sparkContext.broadcast(_filter(shared.select(F.col("f").alias("file")), filter_bits))
+    sent = spark.sparkContext.broadcast(storage.KeyFilter(shared, "f", filter_bits))
     none = F.array().cast("array<int>")
 
     def files(may_share: bool):
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            press, words = zstandard.ZstdCompressor(level=LEVEL).compress, sent.value
+            press, may_hold = zstandard.ZstdCompressor(level=LEVEL).compress, sent.value.may_hold
             for batch in batches:
                 got, at = [], []
                 for i, (n, media) in enumerate(_files(batch)):
                     key = _file_key(media)
-                    if _maybe(words, key, filter_bits) == may_share:
+                    if may_hold(key) == may_share:
                         at.append(i)
                         got.append((n, key, press(media)))
                 cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tessella.llm import bpe, decontam, langid, media, pii, secrets, simhash, tokencount, urlfilter, warc
 
 
@@ -49,8 +50,12 @@ def op10_decontamination(spark, sf_dir):
     return decontam.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_media_chunks, op2_token_counts, op3_language_id, op4_pii, op5_warc, op6_simhash, op7_url_filter, op8_secrets, op9_bpe, op10_decontamination)}
+    return {f.__name__: f for f in (op1_media_chunks, op2_token_counts, op3_language_id, op4_pii, op5_warc, op6_simhash, op7_url_filter, op8_secrets, op9_bpe, op10_decontamination, pipeline)}
 
 
 OP5_SQL = """

@@ -21,13 +21,14 @@ go to the components algorithm as a table; nothing is collected.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import graph, storage
@@ -131,6 +132,82 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     return marked.join(label, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
+def shingles(text: bytes, words: int) -> set[int]:
+    """Hashes of the distinct word shingles of a text; of fewer words, that of all; none of none."""
+    w = text.lower().split()
+    return {xxhash.xxh64_intdigest(b" ".join(w[i : i + words])) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def similarity(a: set[int], b: set[int]) -> float:
+    """Jaccard similarity; 1 for two empty sets."""
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def candidates(nodes: DataFrame, radius: int, most_bits: int) -> DataFrame:
+    """(u, v), u < v: pairs of nodes (node, fp) that are neighbours, by node, in a bucket of some
+    table, or a bucket's first and another. Any two of a bucket are joined by a chain of such pairs,
+    and a bucket of n gives less than 2 n of them."""
+    masks = F.array(*[F.lit(_signed(m)) for m in covering_masks([*range(BITS)], radius)])
+    dealt = nodes.select("node", "fp", F.posexplode(masks).alias("t", "mask")).select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "node", "fp")
+    bucket = Window.partitionBy("t", "key").orderBy("node")
+    met = dealt.select(F.struct("node", "fp").alias("v"), F.first(F.struct("node", "fp")).over(bucket).alias("a"), F.lag(F.struct("node", "fp")).over(bucket).alias("b")).where("b is not null")
+    pairs = met.select("v", F.explode(F.array_distinct(F.array("a", "b"))).alias("u"))
+    near = F.bit_count(F.col("u.fp").bitwiseXOR(F.col("v.fp"))) <= most_bits
+    return pairs.where(near).select(F.col("u.node").alias("u"), F.col("v.node").alias("v")).distinct()
+
+
+def distinct_documents(docs: DataFrame, shingle: int = 3, radius: int = 6, most_bits: int = 16, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of near copies: that of the smallest id.
+
+    Two texts are near copies if their sets of `words`-word shingles have a similarity of `least` or
+    more. Candidates are texts whose fingerprints share a bucket of the covering tables of `radius`
+    (every pair within it, and most of those a few bits beyond); each is verified on the whole texts.
+    Groups are the components of the verified pairs and of equal texts. A null id is the largest;
+    rows that repeat an id and a text count once.
+    """
+    spark = docs.sparkSession
+    storage.small_batches(spark)
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(t).digest()[:16] for t in texts], pa.binary()), pa.array(fps)], ["doc_id", "key", "fp"])
+
+    marked = storage.cut(docs.select(id_col, text_col).mapInArrow(mark, f"doc_id {id_type}, key binary, fp long"), "marked")
+    nodes = marked.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first"), F.min("fp").alias("fp"))
+    # A node's number orders as the ids do where these are whole numbers, and is the key's hash elsewhere.
+    number = F.col("first.doc_id").cast("long") if id_type in ("bigint", "int", "smallint", "tinyint") else F.xxhash64("key")
+    nodes = storage.cut(nodes.select("key", F.col("first.doc_id").alias("doc_id"), "fp", F.coalesce(number, F.xxhash64("key")).alias("node")), "nodes")
+    pairs = storage.cut(candidates(nodes, radius, most_bits), "candidates")
+    asked = storage.cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "key", F.xxhash64("key").alias("h")), "asked")
+    sent = spark.sparkContext.broadcast(storage.KeyFilter(asked.select(F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long").alias("h")), "h"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may_hold = sent.value.may_hold
+        for batch in batches:
+            got = [(k, t) for t in (t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()) if may_hold(int((k := hashlib.sha256(t).digest()[:16]).hex()[:15], 16))]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.binary()), pa.array([t for _, t in got], pa.binary())], ["k", "text"])
+
+    picked = docs.select(text_col).mapInArrow(pick, "k binary, text binary")
+    texts = storage.cut(picked.dropDuplicates(["k"]).join(asked, F.col("k") == F.col("key")).select("node", "text"), "texts")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = [similarity(shingles(a, words), shingles(b, words)) >= least for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(u, keep, strict=True) if k], pa.int64()), pa.array([x for x, k in zip(v, keep, strict=True) if k], pa.int64())], ["u", "v"])
+
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+    groups = graph.connected_components(both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"))
+    gone = groups.where("node <> root").select("node")
+    stay = nodes.join(gone, "node", "left_anti").select(F.col("doc_id").alias("__stays"), F.hex("key").alias("__key"))
+    key = F.substring(F.upper(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)), 1, 32)
+    kept = docs.withColumn("__text_key", key).join(stay.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__stays")) & (F.col("__text_key") == F.col("__key")), "left_semi")
+    return kept.dropDuplicates([id_col, "__text_key"]).select(*docs.columns)
+
+
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to a Python kernel; bounds a worker's memory.
 BATCH_ROWS = 1024
@@ -35,3 +37,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+#: Bits of a KeyFilter; three bits a key.
+FILTER_BITS = 1 << 24
+
+
+class KeyFilter:
+    """Bloom filter, of a fixed size, of the 64-bit hashes in a column: tells most other rows before they move.
+
+    It is gathered word by word, at most bits / 32 rows in all. A fuller filter lets more rows pass;
+    what passes is joined exactly afterwards, so no result depends on it.
+    """
+
+    SHIFTS = (0, 20, 40)
+
+    def __init__(self, hashes: DataFrame, column: str, bits: int = FILTER_BITS):
+        self.bits = bits
+        at = F.array(*[F.shiftrightunsigned(column, s).bitwiseAND(F.lit(bits - 1)) for s in self.SHIFTS])
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(31)).cast("int"))
+        words = hashes.select(F.explode(at).alias("at")).groupBy(F.shiftright("at", 5).cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+        self.words = np.zeros(bits // 32, np.uint32)
+        self.words[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint32)
+
+    def may_hold(self, hashed: int) -> bool:
+        hashed &= (1 << 64) - 1
+        return all(int(self.words[(at := hashed >> s & self.bits - 1) >> 5]) >> (at & 31) & 1 for s in self.SHIFTS)
