@@ -88,7 +88,7 @@ def book_equity(seq, ceq, pstk, at, lt, txditc, txdi, itcb, pstkrv, pstkl) -> di
     """Stockholders' equity, deferred taxes, preferred stock and book equity (NULL unless positive)."""
     zero = F.lit(0.0)
     se = F.coalesce(seq, ceq + F.coalesce(pstk, zero), at - lt)
-    dt = F.coalesce(txditc, F.when(txdi.isNotNull() | itcb.isNotNull(), F.coalesce(txdi, zero) + F.coalesce(itcb, zero)), zero)
+    dt = F.coalesce(txditc, F.coalesce(txdi, zero) + F.coalesce(itcb, zero))
     ps = F.coalesce(pstkrv, pstkl, pstk, zero)
     be = se + dt - ps
     return {"se": se, "dt": dt, "ps": ps, "be": F.when(be > 0, be)}

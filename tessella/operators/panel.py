@@ -123,3 +123,14 @@ def correlations(panel: DataFrame, a: str, b: str, least: int = 3) -> DataFrame:
     both = pairs.join(ranked("a"), "a").join(ranked("b"), "b")
     enough = F.count("*") >= least
     return both.agg(F.when(enough, F.corr("a", "b")).alias("pearson"), F.when(enough, F.corr("ra", "rb")).alias("spearman"), F.count("*").alias("n"))
+
+
+def rolling(panel: DataFrame, aggregate: Column, out: str, window: int, key: str = "permno") -> DataFrame:
+    """aggregate over the last `window` rows of each stock; shorter at its start."""
+    return panel.withColumn(out, aggregate.over(Window.partitionBy(key).orderBy("month_idx").rowsBetween(1 - window, 0)))
+
+
+def expanding(panel: DataFrame, aggregate: Column, out: str, min_periods: int = 1, key: str = "permno") -> DataFrame:
+    """aggregate over all rows of each stock so far; NULL before min_periods rows."""
+    w = Window.partitionBy(key).orderBy("month_idx").rowsBetween(Window.unboundedPreceding, 0)
+    return panel.withColumn(out, F.when(F.count("*").over(w) >= min_periods, aggregate.over(w)))
