@@ -161,44 +161,48 @@ def build_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     shared = storage.cut(shared, "shared")
     sent = spark.sparkContext.broadcast(storage.KeyFilter(shared, "f", filter_bits))
     none = F.array().cast("array<int>")
+    stored = f"doc_id {id_type}, {STORED}"
 
-    def files(may_share: bool):
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            press, may_hold = zstandard.ZstdCompressor(level=LEVEL).compress, sent.value.may_hold
-            for batch in batches:
-                got, at = [], []
-                for i, (n, media) in enumerate(_files(batch)):
-                    key = _file_key(media)
-                    if may_hold(key) == may_share:
-                        at.append(i)
-                        got.append((n, key, press(media)))
-                cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *cols], ["doc_id", "n_bytes", "file", "packed"])
-
-        return docs.select(id_col, text_col).mapInArrow(pack, f"doc_id {id_type}, n_bytes long, file long, packed binary")
+    def row(n: int, key: int, media: bytes, lacks: list[int], lends: list[int], press) -> tuple:
+        pieces, gone = _pieces(media), {*lacks}
+        return (n, key, hashlib.sha256(media).digest(), [len(p) for p in pieces], [_name(p) for p in pieces], lacks, lends, press(b"".join(p for i, p in enumerate(pieces) if i not in gone)))
+
+    def table(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        ints, kinds = pa.list_(pa.int32()), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()))
+        return pa.RecordBatch.from_arrays([ids, *(pa.array([r[i] for r in rows], t) for i, t in enumerate((*kinds, ints, ints, pa.binary())))], [*NAMES])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Store the files that the filter tells share nothing."""
+        press, may_hold = zstandard.ZstdCompressor(level=LEVEL).compress, sent.value.may_hold
+        for batch in batches:
+            rows, at = [], []
+            for i, (n, media) in enumerate(_files(batch)):
+                if not may_hold(key := _file_key(media)):
+                    at.append(i)
+                    rows.append(row(n, key, media, [], [], press))
+            yield table(batch.column(0).take(pa.array(at, pa.int64())), rows)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The other files, compressed."""
+        press, may_hold = zstandard.ZstdCompressor(level=LEVEL).compress, sent.value.may_hold
+        for batch in batches:
+            got = [(i, n, key, press(media)) for i, (n, media) in enumerate(_files(batch)) if may_hold(key := _file_key(media))]
+            cols = [pa.array([g[i] for g in got], t) for i, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([g[0] for g in got], pa.int64())), *cols], ["doc_id", "n_bytes", "file", "packed"])
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cut each file and leave out the chunks that it lacks."""
+        """Store them without the chunks that they lack."""
         press, open_ = zstandard.ZstdCompressor(level=LEVEL).compress, zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            shas, sizes, names, packed = [], [], [], []
-            for blob, lacks in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                media = open_(blob)
-                pieces, gone = _pieces(media), {*lacks}
-                shas.append(hashlib.sha256(media).digest())
-                sizes.append([len(p) for p in pieces])
-                names.append([_name(p) for p in pieces])
-                packed.append(press(b"".join(p for i, p in enumerate(pieces) if i not in gone)) if gone else blob)
-            doc, n, key, _, lacks, lends = batch.columns
-            yield pa.RecordBatch.from_arrays([doc, n, key, pa.array(shas, pa.binary()), pa.array(sizes, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.binary())), lacks, lends, pa.array(packed, pa.binary())], [*NAMES])
-
-    moved = files(True)
+            yield table(batch.column(0), [row(n, key, open_(blob), lacks, lends, press) for n, key, blob, lacks, lends in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)])
+
+    texts = docs.select(id_col, text_col)
+    moved = texts.mapInArrow(send, f"doc_id {id_type}, n_bytes long, file long, packed binary")
     moved = moved.join(shared.hint("shuffle_hash"), moved["doc_id"].eqNullSafe(F.col("i")) & (moved["file"] == F.col("f")), "left")
     moved = moved.select("doc_id", "n_bytes", "file", "packed", F.coalesce("lacks", none).alias("lacks"), F.coalesce("lends", none).alias("lends"))
-    still = files(False).select("*", none.alias("lacks"), none.alias("lends"))
-    for part in (still, moved):
-        part.mapInArrow(thin, f"doc_id {id_type}, {STORED}").write.mode("append").option("compression", "none").parquet(folder)
-    return spark.read.schema(f"doc_id {id_type}, {STORED}").parquet(folder)
+    for part in (texts.mapInArrow(keep, stored), moved.mapInArrow(thin, stored)):
+        part.write.mode("append").option("compression", "none").parquet(folder)
+    return spark.read.schema(stored).parquet(folder)
 
 
 FOUND = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int"
