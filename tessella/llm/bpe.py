@@ -7,9 +7,9 @@ the label that led to it, so the automaton is deterministic, and a label sequenc
 if it is the BPE encoding of its text. Rows of arcs are shared between states: a gadget stores when a
 row was forked and when an arc ended, and a row's entry is worked out on its first use and kept.
 
-A word is encoded by one walk over its bytes: for each prefix there is exactly one label that ends
-there and has an arc from the state of the prefix before it. The arcs passed give the ids; decoding
-emits the labels of the arcs. Text is split into words by the byte-level pattern first, special
+A word is encoded by a walk from the start state that spells it: at each place the longest label with
+an arc is tried first; one path at most leads to a place, so a place from which none goes on is dead
+for good and the walk is linear. The arcs passed give the ids; decoding emits the labels of the arcs. Text is split into words by the byte-level pattern first, special
 tokens before that. Whole texts are encoded, null ones as empty; an empty table gives an empty one;
 repeated rows give repeated results; other columns are ignored.
 
@@ -35,6 +35,10 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Words of a worker's cache generation; two generations are held.
 CACHE_WORDS = 200_000
 NEVER = 1 << 60
+#: Bits of a label's id.
+SHIFT = 24
+#: Bytes by which the labels that may follow are looked up.
+PREFIX = 4
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -44,6 +48,24 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Starts(dict):
+    """First bytes of a rest of a word (up to PREFIX) -> lengths of the labels that may begin it, longest first."""
+
+    def __init__(self, labels: dict[bytes, int]):
+        super().__init__()
+        self.labels, self.longer = labels, {}
+        for x in labels:
+            if len(x) >= PREFIX:
+                self.longer.setdefault(x[:PREFIX], set()).add(len(x))
+
+    def __missing__(self, head: bytes) -> tuple[int, ...]:
+        sizes = {n for n in range(1, min(len(head), PREFIX - 1) + 1) if head[:n] in self.labels} | self.longer.get(head, set())
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        got = self[head] = tuple(sorted(sizes, reverse=True))
+        return got
+
+
 class MergeAutomaton:
     def __init__(self, spec: dict):
         alphabet = byte_alphabet()
@@ -57,16 +79,12 @@ class MergeAutomaton:
             self.label[i] = t.encode()
         self.left, self.right, self.born = [-1] * size, [-1] * size, [-1] * size
         self.ended: dict[tuple[int, int], int] = {}
-        self._life: dict[tuple[int, int], int] = {}
+        self._life: dict[int, int] = {}
         self.arc_of = {self.label[i]: i for i in vocab.values() if len(self.label[i]) == 1}
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self._gadget(vocab[a], vocab[b], vocab[a + b], rank)
-        #: Lengths of labels, longest first, by their last two bytes (or one).
-        ends: dict[bytes, set[int]] = {}
-        for x in self.arc_of:
-            ends.setdefault(x[-2:], set()).add(len(x))
-        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+        self.starts = _Starts(self.arc_of)
 
     def _gadget(self, a: int, b: int, c: int, rank: int) -> None:
         reached = self._alive(a, b) >= 0
@@ -76,11 +94,11 @@ class MergeAutomaton:
             self.left[c], self.right[c], self.born[c] = a, b, rank
             self.arc_of[self.label[c]] = c
         self.ended[a, b] = rank
-        self._life.pop((a, b), None)
+        self._life.pop(a << SHIFT | b, None)
 
     def _alive(self, u: int, v: int) -> int:
         """The rank at which the arc v from the state of u ended: NEVER if it holds, -1 if there was none."""
-        got = self._life.get((u, v))
+        got = self._life.get(u << SHIFT | v)
         if got is None:
             bu, bv = self.born[u], self.born[v]
             if bu < 0 and bv < 0:
@@ -90,37 +108,43 @@ class MergeAutomaton:
             else:  # u's row was forked from that of its right half, just before the gadget's removal
                 there = self._alive(self.right[u], v) >= bu
             got = self.ended.get((u, v), NEVER) if there else -1
-            self._life[u, v] = got
+            self._life[u << SHIFT | v] = got
         return got
 
     def arc(self, u: int, v: int) -> bool:
         return self._alive(u, v) == NEVER
 
-    def trim(self, most: int = 2_000_000) -> None:
+    def trim(self, most: int = 500_000) -> None:
         if len(self._life) > most:
             self._life.clear()
 
     def encode_word(self, word: bytes) -> list[int]:
-        n, arc_of, ends = len(word), self.arc_of, self.ends
-        state, back = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            lengths = ends.get(word[i - 2 : i], ()) if i > 1 else ()
-            for size in lengths:
-                j = i - size
-                if j < 0:
+        n, arc_of, starts, life = len(word), self.arc_of, self.starts, self._life
+        whole = arc_of.get(word)
+        if whole is not None:  # the start state has every arc
+            return [whole]
+        trail, dead = [], set()
+        pos, last, lengths, i = 0, -1, starts[word[:PREFIX]], 0
+        while True:
+            if i < len(lengths):
+                end = pos + lengths[i]
+                i += 1
+                if end > n or end in dead:
                     continue
-                v = arc_of.get(word[j:i])
-                if v is not None and (j == 0 or self._alive(state[j], v) == NEVER):
-                    state[i], back[i] = v, j
-                    break
-            else:
-                state[i], back[i] = arc_of[word[i - 1 : i]], i - 1
-        out, i = [], n
-        while i:
-            out.append(state[i])
-            i = back[i]
-        out.reverse()
-        return out
+                v = arc_of.get(word[pos:end])
+                if v is None:
+                    continue
+                if last >= 0:
+                    held = life.get(last << SHIFT | v)
+                    if (self._alive(last, v) if held is None else held) != NEVER:
+                        continue
+                trail.append((v, pos, lengths, i, last))
+                if end == n:
+                    return [t[0] for t in trail]
+                pos, last, lengths, i = end, v, starts[word[end : end + PREFIX]], 0
+            else:  # no label goes on from here, and only one path leads here
+                dead.add(pos)
+                _, pos, lengths, i, last = trail.pop()
 
     def decode(self, ids) -> str:
         return b"".join([self.label[i] for i in ids]).decode("utf-8", "replace")
