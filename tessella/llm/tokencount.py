@@ -19,8 +19,9 @@ document first, and meet it in one join on its id. What a worker holds is one ba
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -78,6 +79,12 @@ class PretokenTree:
         leaf = min(node - self.width, len(self.lengths) - 1)
         return leaf, begin if leaf == node - self.width else self.chars[1] - self.chars[self.width + leaf]
 
+    def _touch(self, leaf: int) -> list[int]:
+        """Lengths of a leaf, as a list that can change; leaves come from storage as arrays."""
+        if not isinstance(self.lengths[leaf], list):
+            self.lengths[leaf], self.counts[leaf] = self.lengths[leaf].tolist(), self.counts[leaf].tolist()
+        return self.lengths[leaf]
+
     def _update(self, leaf: int) -> None:
         node = self.width + leaf
         chars, tokens = sum(self.lengths[leaf]) - self.chars[node], sum(self.counts[leaf]) - self.tokens[node]
@@ -90,7 +97,7 @@ class PretokenTree:
         """(leaf, index, position) of the first pre-token that an edit at start may have changed."""
         leaf, at = self._leaf_at(max(0, start - LOOKAHEAD - 1))
         index = 0
-        for n in self.lengths[leaf]:
+        for n in self._touch(leaf):
             if at + n + LOOKAHEAD > start:
                 break
             at += n
@@ -115,7 +122,7 @@ class PretokenTree:
                         break
                     to_leaf, to_index = to_leaf + 1, 0
                     continue
-                old += self.lengths[to_leaf][to_index]
+                old += self._touch(to_leaf)[to_index]
                 to_index += 1
             if pos >= stable and old >= end and old + shift == pos or pos >= len(text):
                 break
@@ -127,6 +134,7 @@ class PretokenTree:
             self.lengths[leaf][index:to_index] = lengths
             self.counts[leaf][index:to_index] = counts
         else:
+            self._touch(to_leaf)
             for own, new in ((self.lengths, lengths), (self.counts, counts)):
                 own[leaf][index:] = new
                 own[to_leaf][:to_index] = []
@@ -136,11 +144,11 @@ class PretokenTree:
             self._update(i)
         self.text = text
         if len(self.lengths[leaf]) > LEAF * SPLIT:
-            self._build([n for x in self.lengths for n in x], [n for x in self.counts for n in x])
+            self._build([int(n) for x in self.lengths for n in x], [int(n) for x in self.counts for n in x])
         return len(lengths)
 
     def stored(self) -> dict:
-        return {"leaf_sizes": [len(x) for x in self.lengths], "lengths": [n for x in self.lengths for n in x], "counts": [n for x in self.counts for n in x], "node_chars": self.chars, "node_tokens": self.tokens}
+        return {"leaf_sizes": [len(x) for x in self.lengths], "lengths": [*chain.from_iterable(self.lengths)], "counts": [*chain.from_iterable(self.counts)], "node_chars": self.chars, "node_tokens": self.tokens}
 
     @classmethod
     def loaded(cls, text: str, tree: dict, count) -> PretokenTree:
@@ -148,12 +156,23 @@ class PretokenTree:
         self.text, self.count, self.encoded = text, count, 0
         ends = [0, *accumulate(tree["leaf_sizes"])]
         for name in ("lengths", "counts"):
-            setattr(self, name, [list(tree[name][a:b]) for a, b in zip(ends, ends[1:], strict=False)])
-        self.chars, self.tokens = list(tree["node_chars"]), list(tree["node_tokens"])
+            flat = np.asarray(tree[name], np.int32)
+            setattr(self, name, [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+        self.chars, self.tokens = ([int(n) for n in tree[k]] for k in ("node_chars", "node_tokens"))
         self.width = len(self.chars) // 2
         return self
 
 
+def _stored_trees(column: pa.StructArray) -> Iterator[dict]:
+    """The trees of a column, as slices of its arrays."""
+    parts = {}
+    for i, field in enumerate(column.type):
+        lists = column.field(i)
+        parts[field.name] = (lists.offsets.to_numpy(), lists.values.to_numpy())
+    for r in range(len(column)):
+        yield {name: values[at[r] : at[r + 1]] for name, (at, values) in parts.items()} if column[r].is_valid else None
+
+
 class _Counts(dict):
     """Pre-token -> number of tokens, kept up to a bound."""
 
@@ -207,7 +226,7 @@ def edited_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         count = _Counts(bpe.encoder(sent.value)).__getitem__
         for batch in batches:
             rows = []
-            trees = batch.column(3).to_pylist() if has_tree else [None] * batch.num_rows
+            trees = _stored_trees(batch.column(3)) if has_tree else [None] * batch.num_rows
             for text, edits, stored in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), trees, strict=True):
                 tree = PretokenTree(text or "", count) if stored is None else PretokenTree.loaded(text or "", stored, count)
                 before, pre = tree.n_tokens, tree.n_pretokens
