@@ -36,6 +36,8 @@ from tessella.llm import graph, storage
 BITS, SEED = 64, 42
 #: Fingerprints of a bucket that are compared pair by pair.
 SMALL = 32
+#: Open bits of a bucket that isn't cut further.
+FREE = 6
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 
@@ -84,21 +86,22 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def mask_levels(radius: int, small: int = SMALL) -> list[list[list[int]]]:
-    """For each level, for each bucket kind of the level before, the masks that refine it: bits that must agree so far."""
+def mask_levels(radius: int) -> list[list[list[int]]]:
+    """For each level, for each bucket kind of the level before, the masks that refine it: bits that must agree so
+    far. The last level leaves at most FREE bits open, which bounds its buckets by 2^FREE distinct fingerprints."""
+    if radius not in (1, 2):
+        raise ValueError("buckets are refined for a radius of 1 or 2")
     levels, kinds = [], [0]
-    while True:
+    while max(BITS - k.bit_count() for k in kinds) > FREE:
         refined = [[k | m for m in covering_masks([p for p in range(BITS) if not k >> p & 1], radius)] for k in kinds]
-        # A mask that adds no bit can't split a bucket; the kinds below it stay bounded by their free bits.
         levels.append(refined)
         kinds = [m for ms in refined for m in ms]
-        if max(1 << (BITS - k.bit_count()) for k in kinds) <= small * 2:
-            return levels
+    return levels
 
 
 def links_within(fps: DataFrame, radius: int = 2, small: int = SMALL) -> DataFrame:
     """(u, v), u < v: every pair of the distinct fingerprints fps (fp) that differs in at most `radius` bits."""
-    levels = mask_levels(radius, small)
+    levels = mask_levels(radius)
     rows, out = fps.select(F.lit(0).alias("kind"), "fp"), []
     for depth, refined in enumerate(levels):
         width = len(refined[0])
