@@ -30,11 +30,11 @@ def query(sql: str | None):
 
 
 # P-values are taken as data where an engine has no normal distribution: exp(-|t|) of recorded signals.
-_P = "WITH ev AS (SELECT * FROM fx_evaluated WHERE error IS NULL AND fmb_tstat IS NOT NULL AND signal_no % 10 = 0), p AS (SELECT run, signal_no AS pos, round(exp(-abs(fmb_tstat)), 12) AS p FROM ev), r AS (SELECT *, row_number() OVER w AS rank, count(*) OVER (PARTITION BY run) AS m FROM p WINDOW w AS (PARTITION BY run ORDER BY p, pos)), h AS (SELECT *, (SELECT sum(1.0 / i) FROM generate_series(1, m) g(i)) AS c FROM r)"
+_P = "WITH ev AS (SELECT * FROM fx_evaluated WHERE error IS NULL AND fmb_tstat IS NOT NULL), p AS (SELECT run, signal_no AS pos, round(exp(-abs(fmb_tstat)), 12) AS p FROM ev), r AS (SELECT *, row_number() OVER w AS rank, count(*) OVER (PARTITION BY run) AS m FROM p WINDOW w AS (PARTITION BY run ORDER BY p, pos)), h AS (SELECT *, (SELECT sum(1.0 / i) FROM generate_series(1, m) g(i)) AS c FROM r)"
 
 
 def _adjusted(spark, sf_dir):
-    ev = view(spark, sf_dir, "fx_evaluated").where("error IS NULL AND fmb_tstat IS NOT NULL AND signal_no % 10 = 0")
+    ev = view(spark, sf_dir, "fx_evaluated").where("error IS NULL AND fmb_tstat IS NOT NULL")
     return A.adjusted(ev.select("run", F.col("signal_no").alias("pos"), F.round(F.exp(-F.abs("fmb_tstat")), 12).alias("p_value")), keys=("run",))
 
 

@@ -107,13 +107,11 @@ def names_range_join(spark, sf_dir):
 
 
 # Panels.
-@query("""WITH e AS (SELECT max(month_idx) AS last_month FROM fx_stock_month), s AS (SELECT permno, min(month_idx) AS a, max(month_idx) AS b FROM fx_stock_month WHERE permno % 3 = 0 AND month_idx % 4 <> 0 GROUP BY permno),
-p AS (SELECT * FROM fx_stock_month WHERE permno % 3 = 0 AND month_idx % 4 <> 0),
-g AS (SELECT s.permno, CAST(unnest(generate_series(s.a, least(s.b + 12, (SELECT max(month_idx) FROM p)))) AS INT) AS month_idx FROM s)
-SELECT g.permno, g.month_idx, round((SELECT arg_max(p.me, p.month_idx) FROM p WHERE p.permno = g.permno AND p.month_idx BETWEEN g.month_idx - 12 AND g.month_idx AND p.me IS NOT NULL), 2) AS me FROM g""")
+@query("""WITH s AS (SELECT permno, min(month_idx) AS a, max(month_idx) AS b FROM fx_stock_month GROUP BY permno),
+g AS (SELECT s.permno, CAST(unnest(generate_series(s.a, least(s.b + 12, (SELECT max(month_idx) FROM fx_stock_month)))) AS INT) AS month_idx FROM s)
+SELECT g.permno, g.month_idx, round((SELECT arg_max(p.me, p.month_idx) FROM fx_stock_month p WHERE p.permno = g.permno AND p.month_idx BETWEEN g.month_idx - 12 AND g.month_idx AND p.me IS NOT NULL), 2) AS me FROM g""")
 def calendar_fill_persist12(spark, sf_dir):
-    p = view(spark, sf_dir, "fx_stock_month").where("permno % 3 = 0 AND month_idx % 4 <> 0")
-    return P.fill_months(p, "me", 12).select("permno", "month_idx", F.round("me", 2).alias("me"))
+    return P.fill_months(view(spark, sf_dir, "fx_stock_month"), "me", 12).select("permno", "month_idx", F.round("me", 2).alias("me"))
 
 
 _PCT = "CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY month_idx ORDER BY {x} ASC NULLS LAST) + (count(*) OVER (PARTITION BY month_idx, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY month_idx) END"
