@@ -134,3 +134,27 @@ def expanding(panel: DataFrame, aggregate: Column, out: str, min_periods: int =
     """aggregate over all rows of each stock so far; NULL before min_periods rows."""
     w = Window.partitionBy(key).orderBy("month_idx").rowsBetween(Window.unboundedPreceding, 0)
     return panel.withColumn(out, F.when(F.count("*").over(w) >= min_periods, aggregate.over(w)))
+
+
+#: Plotting positions by method: (shift of the rank, shift of the count).
+POSITIONS = {"weibull": (0.0, 1.0), "hazen": (-0.5, 0.0), "blom": (-0.375, 0.25)}
+
+
+def inverse_percentile(sample: DataFrame, queries: DataFrame, value: str, out: str = "percentile", key: str = "month_idx", method: str = "weibull") -> DataFrame:
+    """queries (key, value, ...) with `out`: the share, 0 to 100, of the key's sample (key, value) that lies below,
+    interpolated between plotting positions; 0 below the least, 100 above the greatest, NULL without a sample."""
+    rank, count = POSITIONS[method]
+    by = Window.partitionBy(key)
+    s = sample.where(F.col(value).isNotNull()).select(key, F.col(value).alias("__v"))
+    s = s.select(key, "__v", ((F.row_number().over(by.orderBy("__v")) + rank) / (F.count("*").over(by) + count) * 100).alias("__p"), F.lit(0).alias("__kind"))
+    both = queries.withColumns({"__v": F.col(value), "__kind": F.lit(1)}).unionByName(s, allowMissingColumns=True)
+    point = F.when(F.col("__kind") == 0, F.struct("__v", "__p"))
+    order = by.orderBy(F.col("__v").asc_nulls_first(), "__kind")
+    both = both.withColumns({
+        "__lo": F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+        "__hi": F.first(point, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
+    }).where("__kind = 1")
+    x, lo, hi = F.col("__v"), F.col("__lo"), F.col("__hi")
+    between = lo["__p"] + (x - lo["__v"]) / (hi["__v"] - lo["__v"]) * (hi["__p"] - lo["__p"])
+    found = F.when(lo.isNull() & hi.isNull() | x.isNull(), None).when(lo.isNull(), 0.0).when(x == lo["__v"], lo["__p"]).when(hi.isNull(), 100.0).otherwise(between)
+    return both.withColumn(out, found).select(*queries.columns, out)

@@ -161,3 +161,29 @@ def rejection_codes(diagnostics: DataFrame) -> DataFrame:
 def call_accounting(calls: DataFrame) -> DataFrame:
     """(role, calls, prompt_tokens, completion_tokens) by role, and in all (role NULL)."""
     return calls.rollup("role").agg(F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
+
+
+def selection(candidates: DataFrame, survivor_ids: DataFrame, conditional_t: DataFrame, reasons: DataFrame, key: str = "signal_id") -> DataFrame:
+    """candidates with conditional_t, survives and, for the rest, why: the recorded reason, else an inestimable t, else
+    a wrong sign, else a t below the threshold."""
+    df = candidates.join(conditional_t, key, "left").join(reasons, key, "left").join(survivor_ids.select(key, F.lit(True).alias("__s")), key, "left")
+    t = F.col("conditional_t")
+    fits = F.when(F.col("expected_sign") == "negative", t < 0).otherwise(t > 0)
+    why = F.coalesce(F.col("reason"), F.when(t.isNull() | F.isnan(t), "conditional_t_not_estimable"), F.when(~fits, "conditional_sign_mismatch"), F.lit("conditional_t_below_threshold"))
+    survives = F.coalesce("__s", F.lit(False))
+    return df.withColumns({"survives": survives, "reason": F.when(~survives, why)}).drop("__s")
+
+
+def critique_taxonomy(notes: DataFrame, category: str = "category") -> DataFrame:
+    """(category, n, flagged, flag_share, share): critiques by what they target."""
+    counts = notes.groupBy(category).agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "flag").alias("flagged"))
+    # One row a category: a closed vocabulary.
+    total = counts.agg(F.sum("n").alias("t"))
+    return counts.withColumn("__t", total.scalar()).select(category, "n", "flagged", (F.col("flagged") / F.col("n")).alias("flag_share"), (F.col("n") / F.col("__t")).alias("share"))
+
+
+def uniqueness(evaluated: DataFrame, key: str = "run", expression: str = "expression") -> DataFrame:
+    """(key, n, n_unique, n_duplicate, rate): expressions that differ by more than case and blanks."""
+    form = F.regexp_replace(F.lower(F.col(expression)), r"\s+", "")
+    counts = evaluated.where(F.trim(F.col(expression)) != "").groupBy(key).agg(F.count("*").alias("n"), F.countDistinct(form).alias("n_unique"))
+    return counts.select(key, "n", "n_unique", (F.col("n") - F.col("n_unique")).alias("n_duplicate"), (F.col("n_unique") / F.col("n")).alias("rate"))

@@ -239,6 +239,50 @@ def resume_merge(spark, sf_dir):
     return runs.merged(ev.where("run = 'run1'").select("signal_no", F.lit("old").alias("v")), ev.where("generation = 1").select("signal_no", F.lit("new").alias("v")), "signal_no")
 
 
+@query(f"""{SG}, b AS (SELECT month_idx, me FROM sg WHERE nyse AND me IS NOT NULL),
+c AS (SELECT s.month_idx, s.permno, s.me, (SELECT count(*) FROM b WHERE b.month_idx = s.month_idx) AS n, (SELECT count(*) FROM b WHERE b.month_idx = s.month_idx AND b.me <= s.me) AS k, (SELECT max(me) FROM b WHERE b.month_idx = s.month_idx AND b.me <= s.me) AS lo, (SELECT min(me) FROM b WHERE b.month_idx = s.month_idx AND b.me > s.me) AS hi FROM fx_stock_month s)
+SELECT month_idx, permno, round(CASE WHEN me IS NULL OR n = 0 THEN NULL WHEN lo IS NULL THEN 0 WHEN me = lo THEN k / (n + 1) * 100 WHEN hi IS NULL THEN 100 ELSE (k + (me - lo) / (hi - lo)) / (n + 1) * 100 END, 6) AS percentile FROM c""")
+def inverse_percentile(spark, sf_dir):
+    m = view(spark, sf_dir, "fx_stock_month")
+    return P.inverse_percentile(m.where("nyse"), m.select("month_idx", "permno", "me"), "me").select("month_idx", "permno", F.round("percentile", 6).alias("percentile"))
+
+
+@query(f"{_EV}, t AS (SELECT unnest(string_split(pair || '_' || mechanism, '_')) AS theme, o FROM e) SELECT theme, count(*) AS evaluated, count(*) FILTER (o = 'correct') AS correct, round(count(*) FILTER (o = 'correct') / count(*), 8) AS rate FROM t GROUP BY theme")
+def theme_marginals(spark, sf_dir):
+    ev = _ev(spark, sf_dir).withColumn("pair", F.concat_ws("_", "pair", "mechanism"))
+    return runs.marginals(ev).withColumn("rate", F.round("rate", 8))
+
+
+@query("SELECT mechanism, count(*) AS n, count(*) FILTER (expected_sign = 'negative') AS flagged, round(count(*) FILTER (expected_sign = 'negative') / count(*), 8) AS flag_share, round(count(*) / (SELECT count(*) FROM fx_evaluated), 8) AS share FROM fx_evaluated GROUP BY mechanism")
+def critique_taxonomy(spark, sf_dir):
+    notes = _ev(spark, sf_dir).withColumn("verdict", F.when(F.col("expected_sign") == "negative", "flag").otherwise("accept"))
+    return runs.critique_taxonomy(notes, "mechanism").withColumns({c: F.round(c, 8) for c in ("flag_share", "share")})
+
+
+@query("SELECT mechanism AS role, count(*) AS calls, CAST(sum(signal_no) AS BIGINT) AS prompt_tokens, CAST(sum(generation) AS BIGINT) AS completion_tokens FROM fx_evaluated GROUP BY ROLLUP (mechanism)")
+def call_accounting(spark, sf_dir):
+    calls = _ev(spark, sf_dir).select(F.col("mechanism").alias("role"), F.col("signal_no").alias("prompt_tokens"), F.col("generation").alias("completion_tokens"))
+    return runs.call_accounting(calls)
+
+
+@query("SELECT role AS run, count(*) AS n, count(DISTINCT regexp_replace(lower(text), '\\s+', '', 'g')) AS n_unique, count(*) - count(DISTINCT regexp_replace(lower(text), '\\s+', '', 'g')) AS n_duplicate, round(count(DISTINCT regexp_replace(lower(text), '\\s+', '', 'g')) / count(*), 8) AS rate FROM conversations WHERE trim(text) <> '' GROUP BY role")
+def expression_uniqueness(spark, sf_dir):
+    c = view(spark, sf_dir, "conversations").select(F.col("role").alias("run"), F.col("text").alias("expression"))
+    return runs.uniqueness(c).withColumn("rate", F.round("rate", 8))
+
+
+_SEL = "s AS (SELECT signal_no, expected_sign, fmb_tstat AS t, CASE WHEN signal_no % 40 = 0 THEN 'near_duplicate' END AS reason, fmb_tstat > 2.4 AND expected_sign = 'positive' AS ok FROM fx_evaluated)"
+
+
+@query(f"""WITH {_SEL} SELECT signal_no, ifnull(ok, false) AS survives, CASE WHEN NOT ifnull(ok, false) THEN CASE WHEN reason IS NOT NULL THEN reason WHEN t IS NULL THEN 'conditional_t_not_estimable'
+WHEN (expected_sign = 'negative' AND t >= 0) OR (expected_sign = 'positive' AND t <= 0) THEN 'conditional_sign_mismatch' ELSE 'conditional_t_below_threshold' END END AS reason FROM s""")
+def selection_reasons(spark, sf_dir):
+    ev = _ev(spark, sf_dir)
+    ids = ev.where("fmb_tstat > 2.4 AND expected_sign = 'positive'").select("signal_no")
+    reasons = ev.where("signal_no % 40 = 0").select("signal_no", F.lit("near_duplicate").alias("reason"))
+    return runs.selection(ev.select("signal_no", "expected_sign"), ids, ev.select("signal_no", F.col("fmb_tstat").alias("conditional_t")), reasons, "signal_no").select("signal_no", "survives", "reason")
+
+
 def queries():
     return dict(Q)
 

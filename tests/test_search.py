@@ -124,3 +124,37 @@ def test_universe_totals(spark, tmp_path):
     docs = artifacts.read_json(spark, str(tmp_path / "*.json"), artifacts.UNIVERSE)
     got = {r.run: r.evaluated_tests for r in artifacts.universe_totals(docs, F.regexp_extract("source", r"(r\d)_", 1)).collect()}
     assert got == {"r1": 21, "r2": 12, None: 33}
+
+
+def test_beta_store(spark, tmp_path):
+    from tessella.sources import betas
+
+    df = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.1), ("b", 1, 0.2)], "signal_id string, month_idx int, beta double")
+    built = []
+    build = lambda: (built.append(1), df)[1]
+    folder = str(tmp_path / "b")
+    assert betas.load_or_build(spark, folder, {"x": 1}, build).count() == 3 == betas.load_or_build(spark, folder, {"x": 1}, build).count() and built == [1]
+    with pytest.raises(ValueError, match="another specification"):
+        betas.load(spark, folder, {"x": 2})
+    betas.load_or_build(spark, folder, {"x": 2}, build)
+    assert built == [1, 1]
+
+
+def test_run_spec(tmp_path):
+    from tessella.plans import runspec
+
+    (tmp_path / "r.json").write_text('{"name": "base", "pair": "profit_value", "suites": ["spanning", "horse_race"]}')
+    spec = runspec.load(tmp_path / "r.json")
+    assert spec.ordered_suites == ["horse_race", "spanning"] and len(runspec.for_all_pairs(spec)) == 28
+    for bad in ({"name": "../x"}, {"pair": "nope"}, {"seed_prompt": "s"}, {"alpha_factor_model": 2}, {"other": 1}):
+        with pytest.raises(ValueError):
+            runspec.from_mapping({"name": "n", "pair": "profit_value", **bad})
+
+
+def test_inverse_percentile(spark):
+    from tessella.operators import panel
+
+    sample = spark.createDataFrame([(1, 10.0), (1, 20.0), (1, 20.0), (1, 40.0)], "month_idx int, x double")
+    asked = spark.createDataFrame([(1, 5.0), (1, 10.0), (1, 20.0), (1, 30.0), (1, 99.0), (1, None), (2, 1.0)], "month_idx int, x double")
+    got = {(r.month_idx, r.x): r.percentile for r in panel.inverse_percentile(sample, asked, "x", method="hazen").collect()}
+    assert got == {(1, 5.0): 0.0, (1, 10.0): 12.5, (1, 20.0): 62.5, (1, 30.0): 75.0, (1, 99.0): 100.0, (1, None): None, (2, 1.0): None}
