@@ -22,5 +22,8 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from tessella.functions.shipping import ship
+
+    ship(session)
     yield session
     session.stop()
