@@ -6,11 +6,13 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to a Python kernel; bounds a worker's memory.
-BATCH_ROWS = 1024
+from tessella.functions.shipping import ship
+
+#: Rows and bytes of one Arrow batch handed to a Python kernel; bounds a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,7 +38,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """What every Python kernel asks of a session: bounded batches, and this package on the executors."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 #: Bits of a KeyFilter; three bits a key.
@@ -63,3 +68,21 @@ class KeyFilter:
     def may_hold(self, hashed: int) -> bool:
         hashed &= (1 << 64) - 1
         return all(int(self.words[(at := hashed >> s & self.bits - 1) >> 5]) >> (at & 31) & 1 for s in self.SHIFTS)
+
+
+def filter_row(keys: DataFrame, column: str, bits: int) -> DataFrame:
+    """One row (words): the same kind of filter as an array for built-in functions, of a fixed size."""
+    at = F.array(*[F.shiftrightunsigned(column, s).bitwiseAND(F.lit(bits - 1)) for s in KeyFilter.SHIFTS])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
+    words = keys.select(F.explode(at).alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("w")).agg(F.bit_or(bit).alias("b"))
+    by = words.agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("by"))
+    zero = F.lit(0).cast("long")
+    return cut(by.select(F.transform(F.sequence(F.lit(0), F.lit(bits // 64 - 1)), lambda i: F.coalesce(F.try_element_at("by", i), zero)).alias("words")), "filter")
+
+
+def may_hold(words: Column, hashed: Column, bits: int) -> Column:
+    out = F.lit(True)
+    for s in KeyFilter.SHIFTS:
+        at = F.shiftrightunsigned(hashed, s).bitwiseAND(F.lit(bits - 1))
+        out = out & (F.get(words, F.shiftright(at, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))) != 0)
+    return out
