@@ -154,6 +154,7 @@ def build_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     each = storage.cut(chunk_lists(docs, id_col, text_col), "chunks").select("doc_id", "file", F.posexplode("names").alias("pos", "name"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "pos")
     keepers = each.groupBy("name").agg(F.min(place).alias("keeper"), F.count("*").alias("n")).where("n > 1").select("name", "keeper")
+    keepers = storage.cut(keepers, "keepers")  # a plain input, so that Spark can split hot partitions of the join
     keeps = place.eqNullSafe(F.col("keeper"))
     shared = each.join(keepers, "name").groupBy(F.col("doc_id").alias("i"), F.col("file").alias("f")).agg(
         F.sort_array(F.collect_set(F.when(~keeps, F.col("pos")))).alias("lacks"), F.sort_array(F.collect_set(F.when(keeps, F.col("pos")))).alias("lends")
@@ -219,6 +220,7 @@ def _kept(sizes: list[int], lacks: list[int], packed: bytes) -> list[bytes | Non
 
 def read_back(store: DataFrame, with_payload: bool = False) -> DataFrame:
     """(doc_id, features...[, payload]) of every row of the store, from its stored bytes."""
+    storage.small_batches(store.sparkSession)
     id_type = store.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, {FOUND}" + (", payload binary" if with_payload else "")
     names = [x.split()[0] for x in schema.split(", ")]
