@@ -28,7 +28,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import graph, storage
@@ -40,6 +40,8 @@ SMALL = 32
 FREE = 6
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
+#: Bits of the filter of buckets that several texts share.
+TABLE_BITS = 1 << 24
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -108,7 +110,8 @@ def links_within(fps: DataFrame, radius: int = 2, small: int = SMALL) -> DataFra
         table = F.array(*[F.array(*[F.lit(_signed(m)) for m in ms]) for ms in refined])
         dealt = rows.select("kind", "fp", F.posexplode(F.get(table, F.col("kind"))).alias("i", "mask"))
         dealt = dealt.select((F.col("kind") * width + F.col("i")).alias("kind"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-        sizes = dealt.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1")
+        # Written, so that the join sees two plain inputs, whose hot partitions Spark can split.
+        sizes = storage.cut(dealt.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
         met = storage.cut(dealt.join(sizes, ["kind", "key"]), "buckets")
         last = depth + 1 == len(levels)
         few = met if last else met.where(F.col("n") <= small)
@@ -129,7 +132,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     distinct = storage.cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     groups = graph.connected_components(links_within(distinct.select("fp"), radius))
     named = groups.join(distinct, F.col("node") == F.col("fp"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component"))
+    ids = storage.cut(named.groupBy("root").agg(F.min("least").alias("component")), "ids")
     of_fp = named.select("node", "root").join(ids, "root").select(F.col("node").alias("fp"), "component")
     label = storage.cut(distinct.join(of_fp, "fp", "left").select(F.col("fp").alias("f"), F.coalesce("component", "least").alias("component_id")), "labels")
     return marked.join(label, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
@@ -147,16 +150,23 @@ def similarity(a: set[int], b: set[int]) -> float:
 
 
 def candidates(nodes: DataFrame, radius: int, most_bits: int) -> DataFrame:
-    """(u, v), u < v: pairs of nodes (node, fp) that are neighbours, by node, in a bucket of some
-    table, or a bucket's first and another. Any two of a bucket are joined by a chain of such pairs,
-    and a bucket of n gives less than 2 n of them."""
+    """(u, v), u < v: in each bucket of each table, its first and last node by number with every other. Any
+    two of a bucket are joined by such pairs, and a bucket of n gives less than 2 n of them.
+
+    Most buckets hold one node. Buckets are counted first, and a filter of a fixed size over those of
+    more keeps the rest from moving again. A bucket's first and last are partial sums, and meet its nodes
+    in a join whose hot partitions Spark splits: no bucket is gathered in one task.
+    """
     masks = F.array(*[F.lit(_signed(m)) for m in covering_masks([*range(BITS)], radius)])
-    dealt = nodes.select("node", "fp", F.posexplode(masks).alias("t", "mask")).select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "node", "fp")
-    bucket = Window.partitionBy("t", "key").orderBy("node")
-    met = dealt.select(F.struct("node", "fp").alias("v"), F.first(F.struct("node", "fp")).over(bucket).alias("a"), F.lag(F.struct("node", "fp")).over(bucket).alias("b")).where("b is not null")
-    pairs = met.select("v", F.explode(F.array_distinct(F.array("a", "b"))).alias("u"))
+    dealt = nodes.select("node", "fp", F.posexplode(masks).alias("t", "mask"))
+    dealt = dealt.select(F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), F.struct("node", "fp").alias("v"))
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    words = storage.filter_row(shared, "bucket", TABLE_BITS)
+    met = dealt.where(storage.may_hold(words.scalar(), F.col("bucket"), TABLE_BITS))
+    ends = storage.cut(met.groupBy("bucket").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).where("n > 1").drop("n"), "ends")
+    pairs = met.join(ends, "bucket").select("v", F.explode(F.array_distinct(F.array("a", "b"))).alias("u")).where("u.node <> v.node")
     near = F.bit_count(F.col("u.fp").bitwiseXOR(F.col("v.fp"))) <= most_bits
-    return pairs.where(near).select(F.col("u.node").alias("u"), F.col("v.node").alias("v")).distinct()
+    return pairs.where(near).select(F.least("u.node", "v.node").alias("u"), F.greatest("u.node", "v.node").alias("v")).distinct()
 
 
 def distinct_documents(docs: DataFrame, shingle: int = 3, radius: int = 6, most_bits: int = 16, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,9 +76,17 @@ def filter_row(keys: DataFrame, column: str, bits: int) -> DataFrame:
     at = F.array(*[F.shiftrightunsigned(column, s).bitwiseAND(F.lit(bits - 1)) for s in KeyFilter.SHIFTS])
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
     words = keys.select(F.explode(at).alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("w")).agg(F.bit_or(bit).alias("b"))
-    by = words.agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("by"))
-    zero = F.lit(0).cast("long")
-    return cut(by.select(F.transform(F.sequence(F.lit(0), F.lit(bits // 64 - 1)), lambda i: F.coalesce(F.try_element_at("by", i), zero)).alias("words")), "filter")
+    got = words.toArrow()  # at most bits / 64 rows
+    dense = np.zeros(bits // 64, np.int64)
+    dense[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    return cut(keys.sparkSession.createDataFrame(pa.table({"words": pa.array([dense], pa.list_(pa.int64()))})), "filter")
+
+
+def dense_row(words: DataFrame, n: int) -> DataFrame:
+    """One row (words): the values b of words (w, b) in order of w from 0 to n - 1, 0 where there is none."""
+    every = words.sparkSession.range(n).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
+    pairs = F.sort_array(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b"))))
+    return every.agg(F.transform(pairs, lambda x: x["b"]).alias("words"))
 
 
 def may_hold(words: Column, hashed: Column, bits: int) -> Column:
