@@ -42,6 +42,7 @@ def classified(pages: DataFrame) -> DataFrame:
     """Adds digest, record_type and refers_to to (page_id, url, html)."""
     df = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     firsts = df.where(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first")).select(F.col("digest").alias("d"), "first", F.lit(True).alias("known"))
+    firsts = storage.cut(firsts, "firsts")  # a plain input, so that Spark can split hot partitions of the join
     df = df.join(firsts.hint("shuffle_hash"), F.col("digest") == F.col("d"), "left")
     first = F.col("known").isNull() | F.col("page_id").eqNullSafe(F.col("first"))
     return df.select("page_id", "url", "html", "digest", F.when(first, "response").otherwise("revisit").alias("record_type"), F.when(~first, F.col("first")).alias("refers_to"))
@@ -152,6 +153,7 @@ def read_records(selected: DataFrame, folder: str, with_payload: bool = True) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
                 i = j
 
+    storage.small_batches(selected.sparkSession)
     ranges = selected.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / READ)).sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(read, RECORD)
 
