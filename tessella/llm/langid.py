@@ -29,6 +29,8 @@ from tessella.llm import storage
 
 UNKNOWN = "und"
 SAMPLE_DOCS, PIECE, DICTIONARY = 64, 2000, 64 << 10
+#: Sampled rows (two numbers each) that are broadcast; more are joined by shuffle.
+MOST_PICKED = 100_000
 #: Block of a text compressed at once: short enough that the dictionary, not the text itself, foretells it.
 BLOCK, LEVEL = 4096, 6
 #: Least lead of the smallest total over the next, as a share of it.
@@ -54,13 +56,16 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Language -> dictionary, from the rows of docs that have a text with a letter and a language."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.substring(text_col, 1, PIECE).alias("piece"))
-    # The limit of the window is applied before the shuffle too, so no language's rows meet in one task.
+    # Copies meet as one hash, by partial sums; the window's limit is applied before its shuffle too.
     order = Window.partitionBy("lang").orderBy("h")
-    sample = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 4 * SAMPLE_DOCS).dropDuplicates(["lang", "h"])
+    picked = rows.select("lang", "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_DOCS).select(F.col("lang").alias("l"), F.col("h").alias("k"))
+    picked = storage.cut(picked, "picked")
+    few = F.broadcast(picked) if picked.count() <= MOST_PICKED else picked
+    sample = rows.join(few, (F.col("lang") == F.col("l")) & (F.col("h") == F.col("k")), "left_semi").dropDuplicates(["lang", "h"])
     by: dict[str, list[tuple[int, str]]] = {}
     for x in sample.select("lang", "h", "piece").toLocalIterator():
         by.setdefault(x.lang, []).append((x.h, x.piece))
-    return {lang: b" ".join(letters(p) for _, p in sorted(pieces)[:SAMPLE_DOCS])[-DICTIONARY:] for lang, pieces in sorted(by.items())}
+    return {lang: b" ".join(letters(p) for _, p in sorted(pieces))[-DICTIONARY:] for lang, pieces in sorted(by.items())}
 
 
 class Classifier:
