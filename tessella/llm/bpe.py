@@ -33,7 +33,7 @@ from tessella.llm import storage
 # Fixed value: the pattern that splits text into words before the merges.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of a worker's cache generation; two generations are held.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 NEVER = 1 << 60
 #: Bits of a label's id.
 SHIFT = 24
