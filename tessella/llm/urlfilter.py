@@ -103,11 +103,8 @@ class Cascade:
     def _encode(self, keys: DataFrame, m: int, k: int) -> DataFrame:
         """One row: the filter's words. Bits are or-ed word by word in parallel; only the words (bounded) meet."""
         at = keys.select(F.explode(F.array(*_bits(F.col("key"), len(self.levels) + 1, m, k))).alias("at"))
-        words = at.groupBy(F.shiftright("at", 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
-        every = F.map_from_entries(F.collect_list(F.struct("w", "bits")))
-        one = words.agg(every.alias("by"))
-        dense = one.select(F.transform(F.sequence(F.lit(0), F.lit(m // 64 - 1)), lambda i: F.coalesce(F.try_element_at("by", i), F.lit(0).cast("long"))).alias("words"))
-        return storage.cut(dense, "filter")
+        words = at.groupBy(F.shiftright("at", 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("b"))
+        return storage.cut(storage.dense_row(words, m // 64), "filter")
 
     def _survivors(self, keys: DataFrame) -> DataFrame:
         """Keys that pass the newest level (those before were passed to get here)."""
