@@ -42,6 +42,10 @@ FREE = 6
 BLOCK = 1 << 16
 #: Bits of the filter of buckets that several texts share.
 TABLE_BITS = 1 << 24
+#: Buckets of a text, and the minima in each; minima whose bytes make a sketch; least agreement of a pair's sketches (at a
+#: similarity of 0.8, 102 are expected with a deviation of 4.5).
+BANDS, ROWS, SKETCH, AGREE = 50, 8, 128, 80
+FACTORS = np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), SEED) | 1 for i in range(BANDS * ROWS)], np.uint64)
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -149,32 +153,75 @@ def similarity(a: set[int], b: set[int]) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
-def candidates(nodes: DataFrame, radius: int, most_bits: int) -> DataFrame:
-    """(u, v), u < v: in each bucket of each table, its first and last node by number with every other. Any
-    two of a bucket are joined by such pairs, and a bucket of n gives less than 2 n of them.
+def minhashes(hashed: set[int]) -> np.ndarray:
+    """BANDS * ROWS minima of the shingle hashes, each under a multiplication of its own; all ones for no shingle."""
+    out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    every = np.fromiter(hashed, np.uint64, len(hashed))
+    for i in range(0, len(every), 256):
+        np.minimum(out, (every[i : i + 256, None] * FACTORS).min(axis=0), out=out)
+    return out
+
+
+def bands(minima: np.ndarray) -> list[int]:
+    """A signed 64-bit bucket of each band."""
+    raw, size = minima.tobytes(), 8 * ROWS
+    return [_signed(xxhash.xxh64_intdigest(raw[i * size : (i + 1) * size], i)) for i in range(BANDS)]
+
+
+def sketch(minima: np.ndarray) -> bytes:
+    """A byte of each of the first SKETCH minima."""
+    return (minima[:SKETCH] >> np.uint64(16)).astype(np.uint8).tobytes()
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sketches agree in AGREE places or more."""
+    return (a == b).sum(axis=-1) >= AGREE
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
+
+
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, n, a, b) of nodes (node, bands) in buckets of n > 1 nodes, a the first and b the last of them.
 
     Most buckets hold one node. Buckets are counted first, and a filter of a fixed size over those of
     more keeps the rest from moving again. A bucket's first and last are partial sums, and meet its nodes
     in a join whose hot partitions Spark splits: no bucket is gathered in one task.
     """
-    masks = F.array(*[F.lit(_signed(m)) for m in covering_masks([*range(BITS)], radius)])
-    dealt = nodes.select("node", "fp", F.posexplode(masks).alias("t", "mask"))
-    dealt = dealt.select(F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), F.struct("node", "fp").alias("v"))
+    dealt = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     words = storage.filter_row(shared, "bucket", TABLE_BITS)
-    met = dealt.where(storage.may_hold(words.scalar(), F.col("bucket"), TABLE_BITS))
-    ends = storage.cut(met.groupBy("bucket").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).where("n > 1").drop("n"), "ends")
-    pairs = met.join(ends, "bucket").select("v", F.explode(F.array_distinct(F.array("a", "b"))).alias("u")).where("u.node <> v.node")
-    near = F.bit_count(F.col("u.fp").bitwiseXOR(F.col("v.fp"))) <= most_bits
-    return pairs.where(near).select(F.least("u.node", "v.node").alias("u"), F.greatest("u.node", "v.node").alias("v")).distinct()
+    met = storage.cut(dealt.where(storage.may_hold(words.scalar(), F.col("bucket"), TABLE_BITS)), "met")
+    ends = storage.cut(met.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1"), "ends")
+    return storage.cut(met.join(ends, "bucket").select("bucket", "node", "n", "a", "b"), "buckets")
+
 
+def first_pairs(met: DataFrame, small: int = SMALL) -> DataFrame:
+    """(u, v), u < v: all pairs of buckets of at most `small` nodes; of larger ones the first and the last with the others."""
+    group = met.where(F.col("n") <= small).groupBy("bucket").agg(F.collect_list("node").alias("ns"))
+    every = F.flatten(F.transform("ns", lambda a: F.transform(F.filter("ns", lambda b: b > a), lambda b: F.struct(a.alias("u"), b.alias("v")))))
+    star = met.where(F.col("n") > small).select("node", F.explode(F.array("a", "b")).alias("end")).where("node <> end")
+    return group.select(F.explode(every).alias("p")).select("p.u", "p.v").unionByName(star.select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v"))).distinct()
 
-def distinct_documents(docs: DataFrame, shingle: int = 3, radius: int = 6, most_bits: int = 16, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def like_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sketches are alike."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["u", "v"]).filter(pa.array(alike(_sketches(batch.column(2)), _sketches(batch.column(3)))))
+
+    of = lambda n, s: nodes.select(F.col("node").alias(n), F.col("sketch").alias(s))
+    return pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
     """docs with one document of each group of near copies: that of the smallest id.
 
     Two texts are near copies if their sets of `words`-word shingles have a similarity of `least` or
-    more. Candidates are texts whose fingerprints share a bucket of the covering tables of `radius`
-    (every pair within it, and most of those a few bits beyond); each is verified on the whole texts.
+    more. Candidates are texts that share one of BANDS buckets, each of ROWS minima of the shingles'
+    hashes: of a pair of similarity s, each bucket is shared with a chance of s^ROWS, so a pair at 0.8 is
+    missed with a chance of 0.0001, and one at 0.85 of 0.0000001. Each is verified on the whole texts.
     Groups are the components of the verified pairs and of equal texts. A null id is the largest;
     rows that repeat an id and a text count once.
     """
@@ -185,35 +232,41 @@ def distinct_documents(docs: DataFrame, shingle: int = 3, radius: int = 6, most_
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(t).digest()[:16] for t in texts], pa.binary()), pa.array(fps)], ["doc_id", "key", "fp"])
+            minima = [minhashes(shingles(t, words)) for t in texts]
+            cols = [pa.array([hashlib.sha256(t).digest()[:16] for t in texts], pa.binary()), pa.array([bands(m) for m in minima], pa.list_(pa.int64())), pa.array([sketch(m) for m in minima], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "key", "bands", "sketch"])
 
-    marked = storage.cut(docs.select(id_col, text_col).mapInArrow(mark, f"doc_id {id_type}, key binary, fp long"), "marked")
-    nodes = marked.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first"), F.min("fp").alias("fp"))
+    marked = storage.cut(docs.select(id_col, text_col).mapInArrow(mark, f"doc_id {id_type}, key binary, bands array<long>, sketch binary"), "marked")
+    nodes = marked.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     # A node's number orders as the ids do where these are whole numbers, and is the key's hash elsewhere.
     number = F.col("first.doc_id").cast("long") if id_type in ("bigint", "int", "smallint", "tinyint") else F.xxhash64("key")
-    nodes = storage.cut(nodes.select("key", F.col("first.doc_id").alias("doc_id"), "fp", F.coalesce(number, F.xxhash64("key")).alias("node")), "nodes")
-    pairs = storage.cut(candidates(nodes, radius, most_bits), "candidates")
-    asked = storage.cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "key", F.xxhash64("key").alias("h")), "asked")
-    sent = spark.sparkContext.broadcast(storage.KeyFilter(asked.select(F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long").alias("h")), "h"))
+    nodes = storage.cut(nodes.select("key", F.col("first.doc_id").alias("doc_id"), "bands", "sketch", F.coalesce(number, F.xxhash64("key")).alias("node")), "nodes")
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may_hold = sent.value.may_hold
-        for batch in batches:
-            got = [(k, t) for t in (t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()) if may_hold(int((k := hashlib.sha256(t).digest()[:16]).hex()[:15], 16))]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.binary()), pa.array([t for _, t in got], pa.binary())], ["k", "text"])
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = storage.cut(pairs, "candidates")
+        asked = storage.cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "key"), "asked")
+        sent = spark.sparkContext.broadcast(storage.KeyFilter(asked.select(F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long").alias("h")), "h"))
 
-    picked = docs.select(text_col).mapInArrow(pick, "k binary, text binary")
-    texts = storage.cut(picked.dropDuplicates(["k"]).join(asked, F.col("k") == F.col("key")).select("node", "text"), "texts")
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            may_hold = sent.value.may_hold
+            for batch in batches:
+                got = [(k, t) for t in (t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()) if may_hold(int((k := hashlib.sha256(t).digest()[:16]).hex()[:15], 16))]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.binary()), pa.array([t for _, t in got], pa.binary())], ["k", "text"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = [similarity(shingles(a, words), shingles(b, words)) >= least for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(u, keep, strict=True) if k], pa.int64()), pa.array([x for x, k in zip(v, keep, strict=True) if k], pa.int64())], ["u", "v"])
+        picked = docs.select(text_col).mapInArrow(pick, "k binary, text binary")
+        texts = storage.cut(picked.dropDuplicates(["k"]).join(asked, F.col("k") == F.col("key")).select("node", "text"), "texts")
+
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [similarity(shingles(a, words), shingles(b, words)) >= least for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+        both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+        return storage.cut(both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), "verified")
 
-    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-    groups = graph.connected_components(both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"))
+    met = shared_buckets(nodes)
+    links = verified(like_pairs(first_pairs(met, small), nodes))
+    groups = graph.connected_components(links)
     gone = groups.where("node <> root").select("node")
     stay = nodes.join(gone, "node", "left_anti").select(F.col("doc_id").alias("__stays"), F.hex("key").alias("__key"))
     key = F.substring(F.upper(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)), 1, 32)

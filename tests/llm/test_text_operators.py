@@ -286,6 +286,29 @@ def test_distinct_documents(spark, docs, rows):
     assert Counter((r.doc_id, r.text or "") for r in got.collect()) == kept
 
 
+def near_copies(r, n, words, changed, vocabulary=20000):
+    """Pairs of texts, the second with `changed` words replaced, and their five-word similarities."""
+    out = []
+    for _ in range(n):
+        a = [f"w{r.randrange(vocabulary)}" for _ in range(words)]
+        b = list(a)
+        for at in r.sample(range(words), changed):
+            b[at] = f"x{r.randrange(vocabulary)}"
+        a, b = " ".join(a), " ".join(b)
+        out.append((a, b, simhash.similarity(simhash.shingles(a.encode(), 5), simhash.shingles(b.encode(), 5))))
+    return out
+
+
+def test_near_copies_at_the_bound(spark):
+    import random
+
+    r = random.Random(2)
+    pairs = [p for w, c in ((150, 3), (300, 6), (60, 1)) for p in near_copies(r, 200, w, c) if p[2] >= 0.8]
+    docs = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "doc_id long, text string").repartition(4)
+    assert len(pairs) > 400 and sorted(p[2] for p in pairs)[len(pairs) // 2] < 0.86
+    assert sorted(x.doc_id for x in simhash.distinct_documents(docs).collect()) == [2 * i for i in range(len(pairs))]
+
+
 # BPE.
 def test_bpe(spark, docs, rows):
     from tokenizers import Tokenizer
