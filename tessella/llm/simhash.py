@@ -46,6 +46,8 @@ TABLE_BITS = 1 << 24
 #: similarity of 0.8, 102 are expected with a deviation of 4.5).
 BANDS, ROWS, SKETCH, AGREE = 50, 8, 128, 80
 FACTORS = np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), SEED) | 1 for i in range(BANDS * ROWS)], np.uint64)
+#: Nodes of a bucket that meet as many others at once.
+BLOCK_NODES = 512
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -205,6 +207,39 @@ def first_pairs(met: DataFrame, small: int = SMALL) -> DataFrame:
     return group.select(F.explode(every).alias("p")).select("p.u", "p.v").unionByName(star.select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v"))).distinct()
 
 
+def unlinked_pairs(met: DataFrame, nodes: DataFrame, groups: DataFrame, small: int = SMALL, block: int = BLOCK_NODES) -> DataFrame:
+    """(u, v), u < v: of buckets of more than `small` nodes, every pair with like sketches that groups (node, root) leave apart.
+
+    Pairs inside a group can't change the components, so the nodes outside a bucket's largest group meet
+    all its nodes, in blocks: no task holds more than two blocks of one bucket at a time.
+    """
+    root = groups.select(F.col("node").alias("g"), "root")
+    large = met.where(F.col("n") > small).select("bucket", "node", "n")
+    large = storage.cut(large.join(root, F.col("node") == F.col("g"), "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")), "large")
+    most = large.groupBy("bucket", "root", "n").agg(F.count("*").alias("held"))
+    most = storage.cut(most.groupBy("bucket").agg(F.max(F.struct("held", "root")).alias("m"), F.max("n").alias("all")).where("m.held < all").select("bucket", F.col("m.root").alias("main"), (F.col("all") - F.col("m.held")).alias("apart")), "most")
+    held = large.join(most, "bucket").join(nodes.select(F.col("node").alias("k"), "sketch"), F.col("node") == F.col("k"))
+    held = storage.cut(held.select("bucket", "node", "root", "sketch", "main", F.ceil(F.col("n") / block).cast("int").alias("gs"), F.ceil(F.col("apart") / block).cast("int").alias("ks")), "held")
+    here = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = ["bucket", "node", "root", "sketch"]
+    outside = held.where("root <> main").select(*own, F.lit(True).alias("outside"), here(F.col("ks")).alias("i"), up_to("gs").alias("j"))
+    inside = held.select(*own, F.lit(False).alias("outside"), here(F.col("gs")).alias("j"), up_to("ks").alias("i"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, of = (table.column(c).to_numpy() for c in ("node", "root"))
+        marks, out = _sketches(table.column("sketch")), table.column("outside").to_numpy()
+        left, right, u, v = np.flatnonzero(out), np.flatnonzero(~out), [], []
+        for x in left.tolist():
+            near = right[alike(marks[right], marks[x]) & (of[right] != of[x])]
+            u.append(np.minimum(node[near], node[x]))
+            v.append(np.maximum(node[near], node[x]))
+        none = [np.empty(0, np.int64)]
+        return pa.table({"u": np.concatenate(u + none), "v": np.concatenate(v + none)})
+
+    return outside.unionByName(inside).groupBy("bucket", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+
+
 def like_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sketches are alike."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,6 +302,9 @@ def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_c
     met = shared_buckets(nodes)
     links = verified(like_pairs(first_pairs(met, small), nodes))
     groups = graph.connected_components(links)
+    if not met.where(F.col("n") > small).isEmpty():
+        links = links.unionByName(verified(unlinked_pairs(met, nodes, groups, small)))
+        groups = graph.connected_components(links)
     gone = groups.where("node <> root").select("node")
     stay = nodes.join(gone, "node", "left_anti").select(F.col("doc_id").alias("__stays"), F.hex("key").alias("__key"))
     key = F.substring(F.upper(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)), 1, 32)

@@ -309,6 +309,43 @@ def test_near_copies_at_the_bound(spark):
     assert sorted(x.doc_id for x in simhash.distinct_documents(docs).collect()) == [2 * i for i in range(len(pairs))]
 
 
+def test_near_copies_between_boilerplate(spark):
+    """Texts of one bucket that are near copies of one another, but not of its first or last."""
+    import random
+
+    r = random.Random(3)
+    common, texts = [f"c{i}" for i in range(300)], []
+    for _ in range(150):
+        own = list(common)
+        for at in r.sample(range(300), 10):
+            own[at] = f"x{r.randrange(10**6)}"
+        copy = list(own)
+        copy[r.randrange(300)] = f"y{r.randrange(10**6)}"
+        texts += [" ".join(own), " ".join(copy)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)
+    sets = [simhash.shingles(t.encode(), 5) for t in texts]
+    root = classes(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if simhash.similarity(sets[a], sets[b]) >= 0.8])
+    assert len(set(root.values())) == 150
+    assert {x.doc_id for x in simhash.distinct_documents(docs).collect()} == set(root.values())
+    assert {x.doc_id for x in simhash.distinct_documents(docs, small=4).collect()} == set(root.values())
+
+
+def test_large_buckets_are_compared_in_full(spark):
+    import random
+
+    r = random.Random(5)
+    marks = [r.randbytes(simhash.SKETCH) for _ in range(60)]
+    marks = [m if k == 0 else m[: simhash.AGREE + k] + r.randbytes(simhash.SKETCH - simhash.AGREE - k) for m in marks for k in (0, 3, 9)]
+    nodes = spark.createDataFrame([(i - 90, m) for i, m in enumerate(marks)], "node long, sketch binary")
+    met = nodes.selectExpr("7L AS bucket", "node", f"{len(marks)}L AS n", "-90L AS a", f"{len(marks) - 91}L AS b")
+    groups = spark.createDataFrame([(i, -90) for i in (-90, -89, -85, 3)], "node long, root long")
+    root = {-89: -90, -85: -90, 3: -90}
+    agree = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) >= simhash.AGREE
+    want = {(i - 90, j - 90) for j in range(len(marks)) for i in range(j) if agree(marks[i], marks[j]) and root.get(i - 90, i - 90) != root.get(j - 90, j - 90)}
+    got = [(x.u, x.v) for x in simhash.unlinked_pairs(met, nodes, groups, block=25).collect()]
+    assert len(want) > 150 and len(got) == len(want) and set(got) == want
+
+
 # BPE.
 def test_bpe(spark, docs, rows):
     from tokenizers import Tokenizer
