@@ -22,6 +22,7 @@ go to the components algorithm as a table; nothing is collected.
 from __future__ import annotations
 
 import hashlib
+import random
 from collections.abc import Iterator
 from functools import reduce
 
@@ -86,7 +87,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 def covering_masks(positions: list[int], radius: int) -> list[int]:
     """Masks over positions such that any `radius` of them are avoided by at least one."""
     top = (1 << (radius + 1)) - 1
-    vector = {p: i % top + 1 for i, p in enumerate(positions)}
+    # Fewer positions than vectors are dealt out at random, so that all masks read about half of them.
+    dealt = random.Random(SEED).sample(range(1, top + 1), len(positions)) if len(positions) < top else [i % top + 1 for i in range(len(positions))]
+    vector = dict(zip(positions, dealt, strict=True))
     return [sum(1 << p for p in positions if (vector[p] & v).bit_count() % 2) for v in range(1, top + 1)]
 
 

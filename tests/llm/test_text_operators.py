@@ -346,6 +346,16 @@ def test_large_buckets_are_compared_in_full(spark):
     assert len(want) > 150 and len(got) == len(want) and set(got) == want
 
 
+def test_masks_of_radius_six_read_half_the_bits():
+    import random
+
+    masks, r = simhash.covering_masks([*range(64)], 6), random.Random(6)
+    assert len(masks) == 127 and all(20 <= m.bit_count() <= 44 for m in masks)
+    for _ in range(3000):
+        apart = sum(1 << b for b in r.sample(range(64), 6))
+        assert any(not m & apart for m in masks)
+
+
 # BPE.
 def test_bpe(spark, docs, rows):
     from tokenizers import Tokenizer
