@@ -276,9 +276,7 @@ def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_c
 
     marked = storage.cut(docs.select(id_col, text_col).mapInArrow(mark, f"doc_id {id_type}, key binary, bands array<long>, sketch binary"), "marked")
     nodes = marked.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    # A node's number orders as the ids do where these are whole numbers, and is the key's hash elsewhere.
-    number = F.col("first.doc_id").cast("long") if id_type in ("bigint", "int", "smallint", "tinyint") else F.xxhash64("key")
-    nodes = storage.cut(nodes.select("key", F.col("first.doc_id").alias("doc_id"), "bands", "sketch", F.coalesce(number, F.xxhash64("key")).alias("node")), "nodes")
+    nodes = storage.cut(nodes.select("key", "first", "bands", "sketch", F.xxhash64("key").alias("node")), "nodes")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = storage.cut(pairs, "candidates")
@@ -308,8 +306,11 @@ def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_c
     if not met.where(F.col("n") > small).isEmpty():
         links = links.unionByName(verified(unlinked_pairs(met, nodes, groups, small)))
         groups = graph.connected_components(links)
-    gone = groups.where("node <> root").select("node")
-    stay = nodes.join(gone, "node", "left_anti").select(F.col("doc_id").alias("__stays"), F.hex("key").alias("__key"))
+    # Nodes are named by their texts; of a group, that of the smallest id stays (of one id's texts, the smallest key).
+    named = storage.cut(groups.join(nodes, "node").select("node", "root", F.struct("first", "key").alias("rank")), "named")
+    stays = storage.cut(named.groupBy("root").agg(F.min("rank").alias("best")), "stays")
+    gone = named.join(stays, "root").where("rank <> best").select("node")
+    stay = nodes.join(gone, "node", "left_anti").select(F.col("first.doc_id").alias("__stays"), F.hex("key").alias("__key"))
     key = F.substring(F.upper(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)), 1, 32)
     kept = docs.withColumn("__text_key", key).join(stay.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__stays")) & (F.col("__text_key") == F.col("__key")), "left_semi")
     return kept.dropDuplicates([id_col, "__text_key"]).select(*docs.columns)

@@ -356,6 +356,13 @@ def test_masks_of_radius_six_read_half_the_bits():
         assert any(not m & apart for m in masks)
 
 
+def test_repeated_and_null_ids_lose_no_text(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (5, base + " more"), (5, "another clean text that shares an id with a copy"), (None, base + " end"), (None, "z " * 9 + "clean")]
+    got = simhash.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.text) for x in got} == {rows[0], rows[2], rows[4]}
+
+
 # BPE.
 def test_bpe(spark, docs, rows):
     from tokenizers import Tokenizer
