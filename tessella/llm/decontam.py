@@ -1,12 +1,14 @@
 """Benchmark decontamination with spaced seeds.
 
-A seed is a mask over SPAN consecutive words that reads some of them and ignores the rest, so a
-passage with words replaced still shares seeds with its source. The seed hashes of the test items
+A seed is a mask over consecutive words that reads SEED_WORDS of them and ignores the rest, so a
+passage with words replaced still shares seeds with its source. The masks are all the ways in which
+an overlap can begin, so each overlap of that many agreeing words or more holds a seed. The seed hashes of the test items
 make a sorted index; the seed hashes of every position of every document are joined to it. A hit
 says which item words lie against which document words; the item is laid over the document there,
 and the best stretch of it (an agreeing word counts 1, another -PENALTY) is the overlap. A document
 is contaminated by an item if an overlap has at least MIN_WORDS agreeing words and these are at
-least MIN_SHARE of its words. Of an item of fewer than SPAN words, all must agree, side by side.
+least MIN_SHARE of its words. Of an item of fewer than SPAN words, all must agree, side by side; a
+document of fewer than SPAN words is contaminated by such items only.
 
 Words are runs of letters, digits and non-ASCII signs, lower-cased in A-Z; other signs only part
 words. Null texts are empty. Items of fewer than MIN_ITEM words match nothing. A null item_id is
@@ -30,10 +32,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import storage
 
-# The masks; 1 reads a word, 0 ignores it.
-MASKS = ("11101100101", "11010011011", "10111010110")
-SPAN = len(MASKS[0])
-MIN_WORDS, MIN_SHARE, PENALTY, MIN_ITEM = 8, 0.7, 2, 5
+# Fixed values.
+MIN_WORDS, MIN_SHARE, PENALTY, MIN_ITEM, SPAN, SEED_WORDS = 8, 0.7, 2, 5, 11, 6
+
+
+def beginnings(read: int) -> tuple[str, ...]:
+    """Every way in which a best stretch of at least `read` agreeing words can begin, up to the last of these: its score
+    stays above 0. 1 is an agreeing word, 0 another."""
+    out, grown = [], [("1", 1)]
+    while grown:
+        mask, score = grown.pop()
+        if mask.count("1") == read:
+            out.append(mask)
+        else:
+            grown += [(mask + "1", score + 1), *([(mask + "0", score - PENALTY)] if score > PENALTY else [])]
+    return tuple(sorted(out, key=lambda m: (len(m), m)))
+
+
+#: 1 reads a word, 0 ignores it.
+MASKS = beginnings(SEED_WORDS)
 #: Seeds of a block of items (each 16 bytes and its share of the item, on every executor).
 BLOCK_SEEDS = 1 << 20
 #: Bytes of text hashed at once; a longer text is a chunk of its own.
@@ -104,11 +121,11 @@ class SeedIndex:
         self.ids = [i for i, _ in items]
         self.words, self.at = word_hashes([t.encode() for _, t in items]) if items else (np.empty(0, np.uint64), np.zeros(1, np.int64))
         sizes = np.diff(self.at)
-        self.masks = [*MASKS, *("1" * n for n in sorted({int(n) for n in sizes if MIN_ITEM <= n < SPAN}))]
+        self.masks = [*dict.fromkeys([*MASKS, *("1" * n for n in sorted({int(n) for n in sizes if MIN_ITEM <= n < SPAN}))])]
         seeds = []
         for m in self.masks:
             for k, n in enumerate(sizes):
-                if (n >= SPAN) if len(m) == SPAN else n == len(m):
+                if m in MASKS if n >= SPAN else m == "1" * n:
                     h = seed_hashes(self.words[self.at[k] : self.at[k + 1]], m)
                     seeds.append((h, np.full(len(h), k), np.arange(len(h))))
         self.seeds, self.item, self.pos = (np.concatenate([s[i] for s in seeds]) if seeds else np.empty(0, np.uint64 if i == 0 else np.int64) for i in range(3))
@@ -139,7 +156,10 @@ class SeedIndex:
         for text, item, shift in self._met(words, at).tolist():
             a, b = int(self.at[item]), int(self.at[item + 1])
             lo, hi = max(0, int(at[text]) - shift), min(b - a, int(at[text + 1]) - shift)
-            agree = (self.words[a + lo : a + hi] == words[shift + lo : shift + hi]).tolist()
+            same_words = self.words[a + lo : a + hi] == words[shift + lo : shift + hi]
+            if same_words.sum() < min(MIN_WORDS, b - a) or b - a >= SPAN > at[text + 1] - at[text]:
+                continue
+            agree = same_words.tolist()
             top = score = start = 0
             span = (0, 0)
             for i, same in enumerate(agree):

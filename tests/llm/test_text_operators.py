@@ -427,6 +427,33 @@ def test_planted_passages_with_substitutions(spark):
     assert {(x.doc_id, x.item_id) for x in got} == {(i, i) for i in range(20)}
 
 
+def best_stretch(agree):
+    """(score, agreeing words, words) of the best stretch, by trying all; of equal ones the one that ends first."""
+    score = lambda a, b: sum(1 if x else -decontam.PENALTY for x in agree[a:b])
+    top = max(((score(a, b), -b, a) for b in range(1, len(agree) + 1) for a in range(b)), default=(0, 0, 0))
+    return top[0], sum(agree[top[2] : -top[1]]), -top[1] - top[2]
+
+
+@pytest.mark.parametrize("words", [11, 12, 13])
+def test_every_replacement_pattern_is_found(words):
+    import itertools
+
+    item = [f"w{i}" for i in range(words)]
+    index = decontam.SeedIndex([(1, " ".join(item))])
+    for agree in itertools.product([True, False], repeat=words):
+        score, n, size = best_stretch(agree)
+        found = index.overlaps([" ".join(["before"] * 3 + [w if k else "other" for w, k in zip(item, agree, strict=True)] + ["after"] * 3).encode()])[0]
+        assert [f[1:3] for f in found] == ([(n, size)] if score > 0 and n >= 8 and n >= 0.7 * size else []), agree
+
+
+@pytest.mark.parametrize("every", range(4, 12))
+@pytest.mark.parametrize("first", range(4))
+def test_regular_replacements_are_found(every, first):
+    item = [f"w{i}" for i in range(60)]
+    text = " ".join("other" if i % every == first else w for i, w in enumerate(item)).encode()
+    assert [f[0] for f in decontam.SeedIndex([(1, " ".join(item))]).overlaps([text])[0]] == [0]
+
+
 @pytest.mark.parametrize("run", [media.media_round_trip, tokencount.token_counts, langid.language_predictions, pii.pii_digest, secrets.secrets_digest, simhash.simhash_digest, simhash.distinct_documents, bpe.bpe_digest, secrets.redacted])
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
