@@ -24,6 +24,8 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 BASE = ("assign", "access", "hex")
+# A key's block up to its last line; where that is missing, the lines of base64 that follow (also with breaks written as \n).
+KEY = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:(?:\s|\\[rn])*+[A-Za-z0-9+/]{16,}+={0,2}+)*+(?:(?:\s|\\[rn])*+[A-Za-z0-9+/]++={1,2}+)?+)"
 #: Further kinds: well-known key formats.
 KINDS = {
     "assign": ASSIGN,
@@ -32,11 +34,11 @@ KINDS = {
     "github": r"(?<![A-Za-z0-9])gh[opsur]_[A-Za-z0-9]{36,}+",
     "slack": r"(?<![A-Za-z0-9])xox[abprs]-[0-9A-Za-z-]{20,}+",
     "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+",
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
+    "private_key": KEY,
 }
 #: Text that every match of a kind holds; a text without it is not walked for that kind.
 NEEDS = {"access": "AKIA", "github": "gh", "slack": "xox", "jwt": "eyJ", "private_key": "-----BEGIN "}
-RULES = "1"
+RULES = "1.1"
 FINDING = "array<struct<kind:string,start:int,end:int>>"
 
 

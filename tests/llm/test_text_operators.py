@@ -210,6 +210,15 @@ def test_redaction(spark):
     assert multiset(secrets.redacted(df), "doc_id", "text", "n_chars") == Counter({(1, 'a <assign>" z', 5): 2, (2, None, 0): 1, (3, "fine", 4): 1})
 
 
+def test_private_keys_go_with_their_bodies(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "b8/+" * 12] * 20)
+    head, last = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [f"x {head}\n{body}\nQUI=\n{last} y", f"x {head}\nProc-Type: 4,ENCRYPTED\n\n{body}\n{last}", f"x {head}\n{body}\nQUI=\nand more", f"x {head} and more", f'"{head}\\n' + body.replace("\n", "\\n") + '\\n", more', head + "A" * 300_000 + "-" * 300 + head * 2000]
+    want = ["x <private_key> y", "x <private_key>", "x <private_key>\nand more", "x <private_key> and more", '"<private_key>\\n", more', "<private_key>" + "-" * 300 + "<private_key>" * 2000]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert {x.doc_id: x.text for x in secrets.redacted(df).collect()} == dict(enumerate(want))
+
+
 # SimHash.
 def plain_fingerprint(t, n=3):
     w = (t or "").encode().lower().split()
