@@ -145,7 +145,7 @@ def chunk_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, file long, names array<binary>")
 
 
-def build_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = storage.FILTER_BITS) -> DataFrame:
+def build_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", filter_bits: int | None = None) -> DataFrame:
     """Write the store of docs to folder and return it (columns NAMES): lacks are positions of chunks
     kept elsewhere, lends of chunks that others lack, packed the kept chunks, compressed."""
     spark = docs.sparkSession

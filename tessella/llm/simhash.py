@@ -41,14 +41,12 @@ SMALL = 32
 FREE = 6
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
-#: Bits of the filter of buckets that several texts share.
-TABLE_BITS = 1 << 24
 #: Buckets of a text, and the minima in each; minima whose bytes make a sketch; least agreement of a pair's sketches (at a
 #: similarity of 0.8, 102 are expected with a deviation of 4.5).
 BANDS, ROWS, SKETCH, AGREE = 50, 8, 128, 80
 FACTORS = np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), SEED) | 1 for i in range(BANDS * ROWS)], np.uint64)
-#: Nodes of a bucket that meet as many others at once.
-BLOCK_NODES = 512
+#: Nodes of a bucket that meet as many others at once, and their shingles.
+BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 19
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -190,14 +188,13 @@ def _sketches(column: pa.Array) -> np.ndarray:
 def shared_buckets(nodes: DataFrame) -> DataFrame:
     """(bucket, node, n, a, b) of nodes (node, bands) in buckets of n > 1 nodes, a the first and b the last of them.
 
-    Most buckets hold one node. Buckets are counted first, and a filter of a fixed size over those of
-    more keeps the rest from moving again. A bucket's first and last are partial sums, and meet its nodes
+    Most buckets hold one node. Buckets are counted first, and a filter over those of more, sized by
+    their number, keeps the rest from moving again. A bucket's first and last are partial sums, and meet its nodes
     in a join whose hot partitions Spark splits: no bucket is gathered in one task.
     """
     dealt = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    words = storage.filter_row(shared, "bucket", TABLE_BITS)
-    met = storage.cut(dealt.where(storage.may_hold(words.scalar(), F.col("bucket"), TABLE_BITS)), "met")
+    shared = storage.cut(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
+    met = storage.cut(dealt.where(storage.Told(shared, "bucket").of(F.col("bucket"))), "met")
     ends = storage.cut(met.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1"), "ends")
     return storage.cut(met.join(ends, "bucket").select("bucket", "node", "n", "a", "b"), "buckets")
 
@@ -210,37 +207,73 @@ def first_pairs(met: DataFrame, small: int = SMALL) -> DataFrame:
     return group.select(F.explode(every).alias("p")).select("p.u", "p.v").unionByName(star.select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v"))).distinct()
 
 
-def unlinked_pairs(met: DataFrame, nodes: DataFrame, groups: DataFrame, small: int = SMALL, block: int = BLOCK_NODES) -> DataFrame:
-    """(u, v), u < v: of buckets of more than `small` nodes, every pair with like sketches that groups (node, root) leave apart.
-
-    Pairs inside a group can't change the components, so the nodes outside a bucket's largest group meet
-    all its nodes, in blocks: no task holds more than two blocks of one bucket at a time.
-    """
+def apart(met: DataFrame, groups: DataFrame, small: int = SMALL) -> DataFrame:
+    """(bucket, node, root, main, n, outside): the nodes of buckets of more than `small` nodes that groups (node, root)
+    leave apart. main is the root of a bucket's largest group, outside the number of nodes beyond it."""
     root = groups.select(F.col("node").alias("g"), "root")
     large = met.where(F.col("n") > small).select("bucket", "node", "n")
     large = storage.cut(large.join(root, F.col("node") == F.col("g"), "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")), "large")
     most = large.groupBy("bucket", "root", "n").agg(F.count("*").alias("held"))
-    most = storage.cut(most.groupBy("bucket").agg(F.max(F.struct("held", "root")).alias("m"), F.max("n").alias("all")).where("m.held < all").select("bucket", F.col("m.root").alias("main"), (F.col("all") - F.col("m.held")).alias("apart")), "most")
-    held = large.join(most, "bucket").join(nodes.select(F.col("node").alias("k"), "sketch"), F.col("node") == F.col("k"))
-    held = storage.cut(held.select("bucket", "node", "root", "sketch", "main", F.ceil(F.col("n") / block).cast("int").alias("gs"), F.ceil(F.col("apart") / block).cast("int").alias("ks")), "held")
+    most = most.groupBy("bucket").agg(F.max(F.struct("held", "root")).alias("m"), F.max("n").alias("all")).where("m.held < all")
+    most = storage.cut(most.select("bucket", F.col("m.root").alias("main"), (F.col("all") - F.col("m.held")).alias("outside")), "most")
+    return storage.cut(large.join(most, "bucket").select("bucket", "node", "root", "main", "n", "outside"), "apart")
+
+
+def unlinked_pairs(met: DataFrame, nodes: DataFrame, groups: DataFrame, small: int = SMALL, block: int = BLOCK_NODES, least: float | None = None, parted: DataFrame | None = None) -> DataFrame:
+    """(u, v), u < v: of buckets of more than `small` nodes, every pair with like sketches that groups (node, root) leave
+    apart; with `least`, of the similar ones among them one for each node and root, which joins the same groups.
+
+    Pairs inside a group can't change the components, so the nodes outside a bucket's largest group meet
+    all its nodes, in blocks: no task holds more than two blocks of one bucket at a time, and what it gives
+    back are links, not pairs. nodes are (node, sketch) and with `least` (bands, hashes), where a pair is
+    compared in the first bucket only that both share. parted is what `apart` gives, if it is known.
+    """
+    exact = least is not None
+    own = ["bucket", "node", "root", "sketch", *(["bands", "hashes"] if exact else [])]
+    held = (apart(met, groups, small) if parted is None else parted).join(nodes.select(F.col("node").alias("k"), *own[3:]), F.col("node") == F.col("k")).drop("k")
+    if exact:
+        held = storage.cut(held, "held")
+        size = held.groupBy("bucket").agg(F.sum(F.size("hashes")).alias("s"), F.sum(F.when(F.col("root") != F.col("main"), F.size("hashes"))).alias("t"))
+        held = held.join(storage.cut(size.select(F.col("bucket").alias("b"), "s", "t"), "sizes"), F.col("bucket") == F.col("b"))
+    else:
+        held = held.withColumns({"s": F.lit(0), "t": F.lit(0)})
+    blocks = lambda n, s: F.ceil(F.greatest(F.col(n) / block, F.col(s) / BLOCK_SHINGLES)).cast("int")
+    held = held.withColumns({"gs": blocks("n", "s"), "ks": blocks("outside", "t")})
     here = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = ["bucket", "node", "root", "sketch"]
-    outside = held.where("root <> main").select(*own, F.lit(True).alias("outside"), here(F.col("ks")).alias("i"), up_to("gs").alias("j"))
-    inside = held.select(*own, F.lit(False).alias("outside"), here(F.col("gs")).alias("j"), up_to("ks").alias("i"))
+    left = held.where("root <> main").select(*own, F.lit(True).alias("left"), here(F.col("ks")).alias("i"), up_to("gs").alias("j"))
+    right = held.select(*own, F.lit(False).alias("left"), here(F.col("gs")).alias("j"), up_to("ks").alias("i"))
 
     def compare(table: pa.Table) -> pa.Table:
-        node, of = (table.column(c).to_numpy() for c in ("node", "root"))
-        marks, out = _sketches(table.column("sketch")), table.column("outside").to_numpy()
-        left, right, u, v = np.flatnonzero(out), np.flatnonzero(~out), [], []
-        for x in left.tolist():
+        table = table.combine_chunks()
+        node, of, is_left = (table.column(c).to_numpy() for c in ("node", "root", "left"))
+        marks, u, v = _sketches(table.column("sketch")), [], []
+        if exact:
+            band = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+            lists = table.column("hashes").combine_chunks()
+            hashes, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            bucket = table.column("bucket")[0].as_py()
+        right = np.flatnonzero(~is_left)
+        for x in np.flatnonzero(is_left).tolist():
             near = right[alike(marks[right], marks[x]) & (of[right] != of[x])]
+            if exact and len(near):
+                same = band[near] == band[x]
+                near = near[band[x][same.argmax(axis=1)] == bucket]
+                mine, linked, kept = hashes[ends[x] : ends[x + 1]], set(), []
+                for y in near.tolist():
+                    if of[y] not in linked:
+                        other = hashes[ends[y] : ends[y + 1]]
+                        both = len(np.intersect1d(mine, other, assume_unique=True))
+                        if both >= least * (len(mine) + len(other) - both):
+                            linked.add(of[y])
+                            kept.append(y)
+                near = np.array(kept, np.int64)
             u.append(np.minimum(node[near], node[x]))
             v.append(np.maximum(node[near], node[x]))
         none = [np.empty(0, np.int64)]
         return pa.table({"u": np.concatenate(u + none), "v": np.concatenate(v + none)})
 
-    return outside.unionByName(inside).groupBy("bucket", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+    return left.unionByName(right).groupBy("bucket", "i", "j").applyInArrow(compare, "u long, v long").distinct()
 
 
 def like_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -275,13 +308,15 @@ def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_c
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "key", "bands", "sketch"])
 
     marked = storage.cut(docs.select(id_col, text_col).mapInArrow(mark, f"doc_id {id_type}, key binary, bands array<long>, sketch binary"), "marked")
-    nodes = marked.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = storage.cut(nodes.select("key", "first", "bands", "sketch", F.xxhash64("key").alias("node")), "nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id"))
+    nodes = marked.groupBy("key").agg(first.alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = storage.cut(nodes.select("key", "first", "copies", "bands", "sketch", F.xxhash64("key").alias("node")), "nodes")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = storage.cut(pairs, "candidates")
-        asked = storage.cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "key"), "asked")
-        sent = spark.sparkContext.broadcast(storage.KeyFilter(asked.select(F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long").alias("h")), "h"))
+    def texts_of(few: DataFrame) -> DataFrame:
+        """(node, text) of few (node): one row a text moves."""
+        asked = storage.cut(few.distinct().join(nodes, "node").select("node", "key"), "asked")
+        hashed = asked.select(F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long").alias("h"))
+        sent = spark.sparkContext.broadcast(storage.KeyFilter(hashed, "h"))
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             may_hold = sent.value.may_hold
@@ -290,7 +325,11 @@ def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_c
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.binary()), pa.array([t for _, t in got], pa.binary())], ["k", "text"])
 
         picked = docs.select(text_col).mapInArrow(pick, "k binary, text binary")
-        texts = storage.cut(picked.dropDuplicates(["k"]).join(asked, F.col("k") == F.col("key")).select("node", "text"), "texts")
+        return storage.cut(picked.dropDuplicates(["k"]).join(asked, F.col("k") == F.col("key")).select("node", "text"), "texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = storage.cut(pairs, "candidates")
+        texts = texts_of(pairs.select(F.explode(F.array("u", "v")).alias("node")))
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -300,20 +339,34 @@ def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_c
         both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
         return storage.cut(both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), "verified")
 
+    def hashed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.sort(np.fromiter((x := shingles(t, words)), np.uint64, len(x))).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["k", "hashes"])
+
     met = shared_buckets(nodes)
     links = verified(like_pairs(first_pairs(met, small), nodes))
     groups = graph.connected_components(links)
-    if not met.where(F.col("n") > small).isEmpty():
-        links = links.unionByName(verified(unlinked_pairs(met, nodes, groups, small)))
-        groups = graph.connected_components(links)
+    parted = apart(met, groups, small)
+    if not parted.isEmpty():
+        sets = texts_of(parted.select("node")).mapInArrow(hashed_sets, "k long, hashes array<long>")
+        known = storage.cut(nodes.join(sets, F.col("node") == F.col("k")).select("node", "sketch", "bands", "hashes"), "sets")
+        more = storage.cut(unlinked_pairs(met, known, groups, small, least=least, parted=parted), "more")
+        if not more.isEmpty():
+            groups = graph.connected_components(more.unionByName(groups.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     # Nodes are named by their texts; of a group, that of the smallest id stays (of one id's texts, the smallest key).
     named = storage.cut(groups.join(nodes, "node").select("node", "root", F.struct("first", "key").alias("rank")), "named")
     stays = storage.cut(named.groupBy("root").agg(F.min("rank").alias("best")), "stays")
-    gone = named.join(stays, "root").where("rank <> best").select("node")
-    stay = nodes.join(gone, "node", "left_anti").select(F.col("first.doc_id").alias("__stays"), F.hex("key").alias("__key"))
+    gone = storage.cut(named.join(stays, "root").where("rank <> best").select("node"), "gone")
+    # Rows whose text no other row repeats or outranks stay where they are; a filter tells most of them.
+    moot = storage.cut(nodes.where("copies > 1").select("node").unionByName(gone), "moot")
+    told = storage.Told(moot, "node")
+    stay = nodes.where(told.of(F.col("node"))).join(gone, "node", "left_anti").select(F.col("first.doc_id").alias("__stays"), F.hex("key").alias("__key"))
     key = F.substring(F.upper(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)), 1, 32)
-    kept = docs.withColumn("__text_key", key).join(stay.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__stays")) & (F.col("__text_key") == F.col("__key")), "left_semi")
-    return kept.dropDuplicates([id_col, "__text_key"]).select(*docs.columns)
+    keyed = docs.withColumn("__text_key", key)
+    asked = told.of(F.xxhash64(F.unhex("__text_key")))
+    kept = keyed.where(asked).join(stay.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__stays")) & (F.col("__text_key") == F.col("__key")), "left_semi")
+    return keyed.where(~asked).unionByName(kept.dropDuplicates([id_col, "__text_key"])).select(*docs.columns)
 
 
 def hex16(fp: Column) -> Column:

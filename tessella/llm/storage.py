@@ -45,21 +45,26 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-#: Bits of a KeyFilter; three bits a key.
-FILTER_BITS = 1 << 24
+#: Most bits of a filter (16 MB): it has BITS_A_KEY a key up to that. Three bits are set a key.
+FILTER_BITS, BITS_A_KEY = 1 << 27, 16
+
+
+def filter_bits(keys: DataFrame, most: int = FILTER_BITS, a_key: int = BITS_A_KEY) -> int:
+    """Bits of a filter of keys (a table that is read, not worked out again): a power of two, 2^16 to most."""
+    return min(most, 1 << max(16, (keys.count() * a_key - 1).bit_length()))
 
 
 class KeyFilter:
-    """Bloom filter, of a fixed size, of the 64-bit hashes in a column: tells most other rows before they move.
+    """Bloom filter of the 64-bit hashes in a column, sized by their number: tells most other rows before they move.
 
-    It is gathered word by word, at most bits / 32 rows in all. A fuller filter lets more rows pass;
-    what passes is joined exactly afterwards, so no result depends on it.
+    It is gathered word by word, at most FILTER_BITS / 32 rows in all. Beyond some eight million keys it is
+    fuller and lets more rows pass; what passes is joined exactly afterwards, so no result depends on it.
     """
 
-    SHIFTS = (0, 20, 40)
+    SHIFTS = (0, 18, 36)
 
-    def __init__(self, hashes: DataFrame, column: str, bits: int = FILTER_BITS):
-        self.bits = bits
+    def __init__(self, hashes: DataFrame, column: str, bits: int | None = None):
+        self.bits = bits = bits or filter_bits(hashes)
         at = F.array(*[F.shiftrightunsigned(column, s).bitwiseAND(F.lit(bits - 1)) for s in self.SHIFTS])
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(31)).cast("int"))
         words = hashes.select(F.explode(at).alias("at")).groupBy(F.shiftright("at", 5).cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
@@ -70,9 +75,21 @@ class KeyFilter:
         hashed &= (1 << 64) - 1
         return all(int(self.words[(at := hashed >> s & self.bits - 1) >> 5]) >> (at & 31) & 1 for s in self.SHIFTS)
 
+    def may_hold_each(self, hashed: np.ndarray) -> np.ndarray:
+        """Whether each of an array of unsigned hashes may be held."""
+        if not hasattr(self, "_bit"):  # one byte a bit, made where it is used
+            self._bit = np.unpackbits(self.words.view(np.uint8), bitorder="little").view(bool)
+        out = self._bit[hashed & np.uint64(self.bits - 1)]
+        i = np.flatnonzero(out)
+        for s in self.SHIFTS[1:]:
+            i = i[self._bit[hashed[i] >> np.uint64(s) & np.uint64(self.bits - 1)]]
+        out[:] = False
+        out[i] = True
+        return out
+
 
 def filter_row(keys: DataFrame, column: str, bits: int) -> DataFrame:
-    """One row (words): the same kind of filter as an array for built-in functions, of a fixed size."""
+    """One row (words): the same kind of filter as an array for built-in functions."""
     at = F.array(*[F.shiftrightunsigned(column, s).bitwiseAND(F.lit(bits - 1)) for s in KeyFilter.SHIFTS])
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
     words = keys.select(F.explode(at).alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("w")).agg(F.bit_or(bit).alias("b"))
@@ -95,3 +112,15 @@ def may_hold(words: Column, hashed: Column, bits: int) -> Column:
         at = F.shiftrightunsigned(hashed, s).bitwiseAND(F.lit(bits - 1))
         out = out & (F.get(words, F.shiftright(at, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))) != 0)
     return out
+
+
+class Told:
+    """Built-in filter over the 64-bit hashes of a column: of(hash) is false only for hashes that it doesn't hold.
+    hashes is a table that is read, not worked out again."""
+
+    def __init__(self, hashes: DataFrame, column: str):
+        self.bits = filter_bits(hashes)
+        self.words = filter_row(hashes, column, self.bits)
+
+    def of(self, hashed: Column) -> Column:
+        return may_hold(self.words.scalar(), hashed, self.bits)
