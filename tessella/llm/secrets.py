@@ -6,9 +6,12 @@ for the present rules (one row of each, however many paths hold it), appends its
 them back to all paths. Built-in functions only. Null texts count as empty; repeated rows give
 repeated results; an empty table gives an empty one; other columns are ignored.
 
-At scale: the ledger and the owner choice shuffle digests and ids, never texts; only the texts of
-unseen blobs move once, by their unique owner. A blob that a third of all paths share is one row in
-the scan, and the join back to paths is a plain equi-join whose hot partitions Spark splits.
+At scale: the ledger and the owner choice shuffle digests and ids, never texts. A text that the ledger
+lacks and no other path holds is scanned where it is read; only the texts of unseen blobs that several
+paths hold move, in the row of their owner. Filters sized by the number of blobs, to a bound, tell these
+apart; what a filter passes wrongly meets the owners in a join, so no result depends on it, and an update
+without news moves no text. A blob that a third of all paths share is one row in the scan, and the
+join back to paths is a plain equi-join whose hot partitions Spark splits.
 """
 
 from __future__ import annotations
@@ -88,12 +91,18 @@ class Ledger:
         """
         named = versions.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
         paths = storage.cut(named.select("path", "blob"), "paths")
-        owners = paths.groupBy("blob").agg(F.min("path").alias("path")).join(self.rows().select("blob"), "blob", "left_anti")
-        # The owner's row carries the text; a path that is listed twice with one text would give
-        # its blob twice, which the distinct of the findings below removes.
-        owned = named.join(owners.hint("shuffle_hash"), (named["path"].eqNullSafe(owners["path"])) & (named["blob"] == owners["blob"]), "left_semi")
-        found = scan_texts(owned.select("blob", "text")).select("blob", F.lit(self.rules).alias("rules"), "findings").distinct()
-        found.write.mode("append").parquet(self.folder)
+        blobs = paths.groupBy("blob").agg(F.min("path").alias("path"), F.count("*").alias("n"))
+        blobs = storage.cut(blobs.join(self.rows().select("blob", F.lit(True).alias("seen")), "blob", "left"), "blobs")
+        unseen, odd = blobs.where("seen IS NULL"), blobs.where("seen OR n > 1")
+        is_unseen, is_odd = (storage.Told(df.select(F.xxhash64("blob").alias("h")), "h") for df in (unseen, odd))
+        maybe = named.where(is_unseen.of(F.xxhash64("blob")))
+        # No other path holds a text that the second filter doesn't: it is scanned in place.
+        alone = maybe.where(~is_odd.of(F.xxhash64("blob"))).select("blob", "text")
+        owned = maybe.where(is_odd.of(F.xxhash64("blob")))
+        owned = owned.join(unseen.select("blob", "path").hint("shuffle_hash"), owned["path"].eqNullSafe(unseen["path"]) & (owned["blob"] == unseen["blob"]), "left_semi")
+        # A path that is listed twice with one text gives its blob twice.
+        owned = owned.select("blob", "text").dropDuplicates(["blob"])
+        scan_texts(alone.unionByName(owned)).select("blob", F.lit(self.rules).alias("rules"), "findings").write.mode("append").parquet(self.folder)
         return paths
 
 
@@ -117,14 +126,15 @@ def secrets_digest(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: Ledger | None = None) -> DataFrame:
-    """docs, all rows and columns, with secrets replaced in the text. Findings meet their rows by blob; only rows of blobs with findings are rewritten."""
+    """docs, all rows and columns, with secrets replaced in the text. Findings meet their rows by blob; rows that a filter tells hold none stay where they are."""
     ledger = ledger or Ledger(docs.sparkSession)
     ledger.update(docs, id_col, text_col)
-    hits = ledger.rows().where(F.size("findings") > 0).select(F.col("blob").alias("__hit"), F.col("findings").alias("__found"))
     named = docs.withColumn("__blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    met = named.join(hits.hint("shuffle_hash"), F.col("__blob") == F.col("__hit"), "left")
+    hits = storage.cut(ledger.rows().where(F.size("findings") > 0).select(F.col("blob").alias("__hit"), F.col("findings").alias("__found")), "hits")
+    told = storage.Told(hits.select(F.xxhash64("__hit").alias("h")), "h").of(F.xxhash64("__blob"))
+    met = named.where(told).join(hits.hint("shuffle_hash"), F.col("__blob") == F.col("__hit"), "left")
     safe = F.when(F.col("__found").isNull(), F.col(text_col)).otherwise(replaced(F.col(text_col), F.col("__found")))
-    return met.withColumn(text_col, safe).select(*docs.columns)
+    return named.where(~told).select(*docs.columns).unionByName(met.withColumn(text_col, safe).select(*docs.columns))
 
 
 def replaced(text: Column, found: Column) -> Column:
