@@ -25,6 +25,14 @@ def two_sided_p(t: float) -> float:
     return 2.0 * (1.0 - normal_cdf(abs(t)))
 
 
+_erf = np.frompyfunc(math.erf, 1, 1)
+
+
+def two_sided_ps(t: np.ndarray) -> np.ndarray:
+    """two_sided_p of an array."""
+    return 2.0 * (1.0 - 0.5 * (1.0 + _erf(np.abs(np.asarray(t, float)) / math.sqrt(2.0)).astype(float)))
+
+
 def incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function, by its continued fraction (modified Lentz)."""
     if not 0 < x < 1:

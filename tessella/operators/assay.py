@@ -45,20 +45,21 @@ def month_number(text: str) -> int:
 
 @pandas_udf(DoubleType())
 def two_sided_p(t: pd.Series) -> pd.Series:
-    """2 (1 - Phi(|t|)) of a column; no such function is built in."""
-    return t.map(lambda x: None if x is None or not math.isfinite(x) else linear.two_sided_p(x))
+    """2 (1 - Phi(|t|)) of a column, NULL where t isn't finite; no such function is built in."""
+    x = t.to_numpy(float, na_value=np.nan)
+    return pd.Series(np.where(np.isfinite(x), linear.two_sided_ps(x), np.nan)).where(np.isfinite(x))
 
 
 def adjusted(df: DataFrame, p: str = "p_value", order: str = "pos", alpha: float = 0.05, keys: tuple[str, ...] = ()) -> DataFrame:
     """df with rank, Bonferroni, Holm and Benjamini-Hochberg-Yekutieli columns over rows that have a p-value.
-    keys tell families of tests apart; ties keep the order of column `order`."""
+    keys tell families of tests apart; ties keep the order of column `order`. A family is sorted once each way: its
+    harmonic number is a sum of 1 / rank, and the minimum over the rows onward is one over those before, from the end."""
     by = Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(0)]))
     asc = by.orderBy(p, order)
-    upto, onward = asc.rowsBetween(Window.unboundedPreceding, 0), asc.rowsBetween(0, Window.unboundedFollowing)
+    upto, onward = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (asc, by.orderBy(F.desc("rank"))))
     df = df.where(F.col(p).isNotNull()).withColumns({"rank": F.row_number().over(asc), "m": F.count("*").over(by)})
-    harmonic = F.aggregate(F.sequence(F.lit(1), F.col("m").cast("int")), F.lit(0.0), lambda a, k: a + 1.0 / k)
     one = F.lit(1.0)
-    df = df.withColumn("c_m", harmonic)
+    df = df.withColumn("c_m", F.sum(1.0 / F.col("rank")).over(by))
     df = df.withColumns({
         "bonf_adj_p": F.least(F.col("m") * F.col(p), one),
         "holm_adj_p": F.least(F.max((F.col("m") - F.col("rank") + 1) * F.col(p)).over(upto), one),
@@ -115,6 +116,8 @@ def required_t(prior: float = 0.20, threshold: float = 0.05, method: str = "mbf"
 
 GRID = tuple(round(1 + 0.1 * i, 1) for i in range(41))
 RATES = ("tp", "fp", "fn", "tn", "type1", "type2", "oratio")
+#: Most bytes of a matrix of betas that is collected and broadcast (700 months of 48,000 signals).
+MATRIX_BYTES = 256 << 20
 
 
 def column_t(matrix: np.ndarray, nw_lags: int = 0) -> np.ndarray:
@@ -153,7 +156,9 @@ def one_ranking(x0: np.ndarray, seed: int, share: float, n_eval: int, grid: np.n
 
 def double_bootstrap(spark: SparkSession, matrix: np.ndarray, share_true: float, n_rank: int = 100, n_eval: int = 200, grid: tuple[float, ...] = GRID, ranking: str = "signed", testing: str = "signed", nw_lags: int = 0) -> DataFrame:
     """(t, type1, type2, oratio) by threshold: realised error rates with known truth. Seeds are 0..n_rank - 1, so a
-    lost task is redone alike. matrix (months x signals of betas, oriented) is broadcast: some MB by nature."""
+    lost task is redone alike. matrix (months x signals of betas, oriented) is broadcast; MATRIX_BYTES bounds it."""
+    if np.asarray(matrix).size * 8 > MATRIX_BYTES:
+        raise ValueError(f"a matrix of {np.asarray(matrix).shape} is beyond {MATRIX_BYTES} bytes")
     sent, points = spark.sparkContext.broadcast(np.asarray(matrix, float)), np.asarray(grid, float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +179,18 @@ def hurdle(rates: DataFrame, target: float = 0.05, rate: str = "type1") -> float
 
 
 def beta_matrix(betas: DataFrame, nw_lags: int = 6) -> tuple[list, np.ndarray]:
-    """Signals, and months x signals of betas (signal_id, month_idx, beta); signals need more than max(3, nw_lags + 2) months."""
-    enough = betas.groupBy("signal_id").agg(F.count("beta").alias("n")).where(F.col("n") > max(3, nw_lags + 2))
-    pdf = betas.join(enough, "signal_id", "left_semi").select("signal_id", "month_idx", "beta").toPandas()
+    """Signals, and months x signals of betas (signal_id, month_idx, beta); signals need more than max(3, nw_lags + 2)
+    months. ValueError, before anything is collected, if the matrix would be beyond MATRIX_BYTES."""
+    betas = betas.select("signal_id", "month_idx", "beta").persist()
+    try:
+        enough = betas.groupBy("signal_id").agg(F.count("beta").alias("n")).where(F.col("n") > max(3, nw_lags + 2))
+        usable = betas.join(enough, "signal_id", "left_semi")
+        signals, months = usable.agg(F.countDistinct("signal_id"), F.countDistinct("month_idx")).first()
+        if signals * months * 8 > MATRIX_BYTES:
+            raise ValueError(f"betas of {signals} signals in {months} months are beyond {MATRIX_BYTES} bytes; take fewer signals at a time")
+        pdf = usable.toPandas()
+    finally:
+        betas.unpersist()
     wide = pdf.pivot(index="month_idx", columns="signal_id", values="beta").sort_index()
     return [*wide.columns], wide.to_numpy(float)
 
@@ -267,19 +281,51 @@ def sampled_months(panel: DataFrame, every: int = 12, beyond: int = 60) -> DataF
     return df.where((F.col("n") <= beyond) | (F.col("i") % every == 0)).select("month_idx")
 
 
+#: Rows of a month's cross-section that one task turns into sums of products.
+BLOCK_ROWS = 1 << 15
+
+
+def in_blocks(panel: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """panel with `block`: the stocks of a month dealt into blocks of about `rows`, told by the month's size."""
+    sizes = panel.groupBy("month_idx").agg(F.ceil(F.count("*") / rows).cast("int").alias("__blocks"))
+    return panel.join(sizes, "month_idx").withColumn("block", F.pmod(F.xxhash64("permno"), F.col("__blocks")).cast("int")).drop("__blocks")
+
+
+def pair_moments(panel: DataFrame, names: list[str], rows: int = BLOCK_ROWS) -> DataFrame:
+    """(month_idx, a, b, n, sa, sb, saa, sbb, sab) of every two columns, by their positions in names: sums over the
+    stocks that have both. A month's blocks become products of matrices, whatever the number of columns, and meet as sums."""
+    k = len(names)
+    upper = np.triu_indices(k, 1)
+
+    def run(table: pa.Table) -> pa.Table:
+        x = np.column_stack([table.column(f"c{i}").to_numpy() for i in range(k)]).astype(float)
+        has = np.isfinite(x)
+        x, m = np.where(has, x, 0.0), has.astype(float)
+        n, sa, saa, sab = m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
+        month = np.full(len(upper[0]), table.column("month_idx")[0].as_py(), np.int32)
+        cols = [n[upper], sa[upper], sa.T[upper], saa[upper], saa.T[upper], sab[upper]]
+        return pa.table([pa.array(month), pa.array(upper[0].astype(np.int32)), pa.array(upper[1].astype(np.int32)), *map(pa.array, cols)], names=["month_idx", "a", "b", *_MOMENTS])
+
+    few = panel.select(F.col("month_idx").cast("int").alias("month_idx"), "permno", *[F.col(f"`{n}`").cast("double").alias(f"c{i}") for i, n in enumerate(names)])
+    parts = in_blocks(few, rows).groupBy("month_idx", "block").applyInArrow(run, "month_idx int, a int, b int, " + ", ".join(f"{c} double" for c in _MOMENTS))
+    return parts.groupBy("month_idx", "a", "b").agg(*[F.sum(c).alias(c) for c in _MOMENTS])
+
+
+_MOMENTS = ("n", "sa", "sb", "saa", "sbb", "sab")
+
+
 def correlation_matrix(panel: DataFrame, names: list[str], min_stocks: int = 31, min_dates: int = 3, every: int = 12) -> DataFrame:
     """(a, b, n_months, corr) of every two signals (columns of panel, ranked): mean monthly correlation over their
-    joint stocks. One pass: a month's sums for all pairs are one aggregate row. NULL: overlap too thin."""
+    joint stocks, from the months' sums of products. NULL: overlap too thin."""
     df = panel.join(sampled_months(panel, every), "month_idx", "left_semi")
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    cells = []
-    for a, b in pairs:
-        x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
-        both = x.isNotNull() & y.isNotNull()
-        cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both).alias("n"), F.corr(F.when(both, x), F.when(both, y)).alias("r")))
-    monthly = df.groupBy("month_idx").agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("c")).select("c.*")
-    usable = F.when((F.col("n") >= min_stocks) & F.col("r").isNotNull() & ~F.isnan("r"), F.col("r"))
-    return monthly.groupBy("a", "b").agg(F.count(usable).alias("n_months"), F.when(F.count(usable) >= min_dates, F.avg(usable)).alias("corr"))
+    n, sa, sb, saa, sbb, sab = (F.col(c) for c in _MOMENTS)
+    va, vb = saa - sa * sa / n, sbb - sb * sb / n
+    tiny = F.lit(1e-12)  # a deviation that is nothing but rounding is none
+    r = F.when((va > tiny * saa) & (vb > tiny * sbb), (sab - sa * sb / n) / F.sqrt(va * vb))
+    usable = F.when((n >= min_stocks) & r.isNotNull(), r)
+    out = pair_moments(df, names).groupBy("a", "b").agg(F.count(usable).alias("n_months"), F.when(F.count(usable) >= min_dates, F.avg(usable)).alias("corr"))
+    named = F.array(*map(F.lit, names))
+    return out.select(F.get(named, F.col("a")).alias("a"), F.get(named, F.col("b")).alias("b"), "n_months", "corr")
 
 
 @dataclass
@@ -291,9 +337,11 @@ class HorseRace:
     status: str = "ok"
 
 
-def _t_of(panel: DataFrame, names: list[str]) -> dict[str, float]:
-    got = {r.name: r.tstat for r in R.fama_macbeth(panel, names).collect()}
-    return {n: math.nan if got.get(n) is None else got[n] for n in names}
+def _t_of(moments: DataFrame, every: list[str], subsets: list[list[str]]) -> list[dict[str, float]]:
+    """Fama-MacBeth t's of each subset's joint regression, from the moments (regression.pattern_moments) of all: one job."""
+    got = R.newey_west(R.subset_betas(moments, every, subsets), keys=("subset", "name")).where("name <> 'const'").collect()
+    t = {(r.subset, r.name): r.tstat for r in got}
+    return [{n: math.nan if t.get((i, n)) is None else t[i, n] for n in names} for i, names in enumerate(subsets)]
 
 
 def deduplicated(names: list[str], corr: dict[tuple[str, str], float | None], score: dict[str, float], threshold: float = 0.95) -> tuple[list[str], dict[str, str]]:
@@ -311,15 +359,24 @@ def deduplicated(names: list[str], corr: dict[tuple[str, str], float | None], sc
 
 def horse_race(panel: DataFrame, signs: dict[str, str], threshold: float = CRITICAL) -> HorseRace:
     """Signals (columns of panel, ranked) against each other: joint t's, near-duplicates out, then backward
-    elimination: the last inestimable, else the worst of wrong sign, else the weakest within the threshold."""
+    elimination: the last inestimable, else the worst of wrong sign, else the weakest within the threshold. The stocks
+    are read twice, for moments and for correlations; each elimination works on the months' moments."""
     names = [*signs]
-    joint = _t_of(panel, names)
+    moments = R.pattern_moments(panel, names).persist()
+    try:
+        return _raced(moments, panel, names, signs, threshold)
+    finally:
+        moments.unpersist()
+
+
+def _raced(moments: DataFrame, panel: DataFrame, names: list[str], signs: dict[str, str], threshold: float) -> HorseRace:
+    joint, *alone = _t_of(moments, names, [names, *([n] for n in names)])
     corr = {(r.a, r.b): r.corr for r in correlation_matrix(panel, names).collect()} if len(names) > 1 else {}
-    score = {n: oriented(_t_of(panel, [n])[n], signs[n]) for n in names} if len(names) > 1 else {n: 0.0 for n in names}
+    score = {n: oriented(t[n], signs[n]) for n, t in zip(names, alone, strict=True)}
     left, dropped = deduplicated(names, corr, score)
     finite = any(math.isfinite(t) for t in joint.values())
     while left:
-        t = _t_of(panel, left)
+        (t,) = _t_of(moments, names, [left])
         finite = finite or any(math.isfinite(x) for x in t.values())
         lost = [n for n in left if not math.isfinite(t[n])]
         worst = min(left, key=lambda n: oriented(t[n], signs[n]))
@@ -434,8 +491,9 @@ def spanning_test(panel: DataFrame, signal: str, controls: list[str], expected_s
     if out.valid_months < least:
         out.reason = "insufficient_joint_coverage"
         return out
-    out.t_univariate = _t_of(panel, [signal])[signal]
-    joint = _t_of(panel, [signal, *out.controls])
+    every = [signal, *out.controls]
+    alone, joint = _t_of(R.pattern_moments(panel, every), every, [[signal], every])
+    out.t_univariate = alone[signal]
     out.t_conditional, out.control_t = joint.pop(signal), joint
     up = oriented(out.t_conditional, expected_sign)
     out.survives_196, out.survives_300 = up > 1.96, up > 3.0

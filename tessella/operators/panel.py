@@ -111,16 +111,28 @@ def require_contiguous(panel: DataFrame) -> None:
         raise ValueError(f"months must be contiguous: {r.n} of {r.b - r.a + 1} are there")
 
 
+#: Ranges that a column is dealt into when it is ranked as a whole.
+RANGES = 64
+
+
+def pooled_ranks(values: DataFrame, column: str, out: str = "rank", ranges: int = RANGES) -> DataFrame:
+    """(column, out): average-tie rank of each distinct value of a numeric column among all rows. Values are counted,
+    dealt into ranges at approximate quantiles, summed up within each, and moved on by the sums of the ranges before."""
+    counts = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
+    points = counts.agg(F.percentile_approx(column, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+    cut = F.array(*map(F.lit, sorted(set(points)))) if points else F.array().cast("array<double>")
+    counts = counts.withColumn("__range", F.size(F.filter(cut, lambda b: b <= F.col(column))))
+    # One row a range.
+    before = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offset = counts.groupBy("__range").agg(F.sum("__n").alias("__s")).select("__range", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
+    upto = F.sum("__n").over(Window.partitionBy("__range").orderBy(column)) + F.col("__before")
+    return counts.join(F.broadcast(offset), "__range").select(column, (upto - (F.col("__n") - 1) / 2.0).alias(out))
+
+
 def correlations(panel: DataFrame, a: str, b: str, least: int = 3) -> DataFrame:
     """One row: pooled Pearson and Spearman correlation of two columns over rows that have both."""
     pairs = panel.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
-    # Ranks of a whole column: counts of each value are summed along its order, and the shares joined back.
-    def ranked(c: str) -> DataFrame:
-        w = Window.orderBy(c)
-        counts = pairs.groupBy(c).agg(F.count("*").alias("n"))
-        return counts.select(c, (F.sum("n").over(w) - (F.col("n") - 1) / 2.0).alias(f"r{c}"))
-
-    both = pairs.join(ranked("a"), "a").join(ranked("b"), "b")
+    both = pairs.join(pooled_ranks(pairs, "a", "ra"), "a").join(pooled_ranks(pairs, "b", "rb"), "b")
     enough = F.count("*") >= least
     return both.agg(F.when(enough, F.corr("a", "b")).alias("pearson"), F.when(enough, F.corr("ra", "rb")).alias("spearman"), F.count("*").alias("n"))
 
@@ -149,11 +161,10 @@ def inverse_percentile(sample: DataFrame, queries: DataFrame, value: str, out: s
     s = s.select(key, "__v", ((F.row_number().over(by.orderBy("__v")) + rank) / (F.count("*").over(by) + count) * 100).alias("__p"), F.lit(0).alias("__kind"))
     both = queries.withColumns({"__v": F.col(value), "__kind": F.lit(1)}).unionByName(s, allowMissingColumns=True)
     point = F.when(F.col("__kind") == 0, F.struct("__v", "__p"))
-    order = by.orderBy(F.col("__v").asc_nulls_first(), "__kind")
-    both = both.withColumns({
-        "__lo": F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        "__hi": F.first(point, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
-    }).where("__kind = 1")
+    # The next point above is the last one passed when the order is turned round: frames to the end cost their square.
+    up, down = by.orderBy(F.col("__v").asc_nulls_first(), "__kind"), by.orderBy(F.col("__v").desc_nulls_last(), F.desc("__kind"))
+    passed = lambda order: F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumns({"__lo": passed(up), "__hi": passed(down)}).where("__kind = 1")
     x, lo, hi = F.col("__v"), F.col("__lo"), F.col("__hi")
     between = lo["__p"] + (x - lo["__v"]) / (hi["__v"] - lo["__v"]) * (hi["__p"] - lo["__p"])
     found = F.when(lo.isNull() & hi.isNull() | x.isNull(), None).when(lo.isNull(), 0.0).when(x == lo["__v"], lo["__p"]).when(hi.isNull(), 100.0).otherwise(between)

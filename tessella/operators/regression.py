@@ -64,22 +64,27 @@ def plain_t(betas: DataFrame, value: str = "beta", keys: tuple[str, ...] = ()) -
     return out.select(*keys, "mean", F.when(F.col("se") > 0, F.col("mean") / F.col("se")).alias("tstat"), "n")
 
 
+def _bounded_by_month(panel: DataFrame, columns: list[str], pct: float, bound) -> DataFrame:
+    """columns replaced by bound(value, low, high) of the month's pct and 100 - pct percentiles, as they are in months of
+    fewer than three values. The percentiles of all columns are one grouped aggregate, joined back."""
+    ends = F.array(F.lit(pct / 100), F.lit(1 - pct / 100))
+    stats = panel.groupBy("month_idx").agg(*[F.struct(F.percentile(c, ends).alias("b"), F.count(c).alias("n")).alias(f"__s_{i}") for i, c in enumerate(columns)])
+    df = panel.join(stats.withColumnRenamed("month_idx", "__month"), F.col("month_idx").eqNullSafe(F.col("__month")))
+    out = {}
+    for i, c in enumerate(columns):
+        s, x = F.col(f"__s_{i}"), F.col(c)
+        out[c] = F.when(s["n"] < 3, x).otherwise(bound(x, s["b"][0], s["b"][1]))
+    return df.withColumns(out).select(*panel.columns)
+
+
 def trim_by_month(panel: DataFrame, columns: list[str], pct: float) -> DataFrame:
     """Values outside the month's pct and 100 - pct percentiles become NULL (months of at least three values)."""
-    month = Window.partitionBy("month_idx")
-    for c in columns:
-        b = F.percentile(F.col(c), F.array(F.lit(pct / 100), F.lit(1 - pct / 100))).over(month)
-        panel = panel.withColumns({"__b": b, "__n": F.count(c).over(month)})
-        panel = panel.withColumn(c, F.when((F.col("__n") < 3) | F.col(c).between(F.col("__b")[0], F.col("__b")[1]), F.col(c))).drop("__b", "__n")
-    return panel
+    return _bounded_by_month(panel, columns, pct, lambda x, low, high: F.when(x.between(low, high), x))
 
 
 def winsorize_by_month(panel: DataFrame, columns: list[str], pct: float) -> DataFrame:
-    month = Window.partitionBy("month_idx")
-    for c in columns:
-        panel = panel.withColumns({"__b": F.percentile(F.col(c), F.array(F.lit(pct / 100), F.lit(1 - pct / 100))).over(month), "__n": F.count(c).over(month)})
-        panel = panel.withColumn(c, F.when(F.col("__n") < 3, F.col(c)).otherwise(clip(F.col(c), F.col("__b")[0], F.col("__b")[1]))).drop("__b", "__n")
-    return panel
+    """Values outside the month's pct and 100 - pct percentiles become the nearer one (months of at least three values)."""
+    return _bounded_by_month(panel, columns, pct, clip)
 
 
 def monthly_moments(panel: DataFrame, chars: list[str], ret: str = "ret", n_lags: int = 1, weight: str | None = None, trim_pct: float = 0) -> DataFrame:
@@ -98,6 +103,17 @@ def monthly_moments(panel: DataFrame, chars: list[str], ret: str = "ret", n_lags
     return df.where(complete).groupBy("month_idx").agg(F.count("*").alias("n"), F.array(*sums).alias("moments"))
 
 
+def _solved(n: float, m: np.ndarray) -> tuple[float | None, np.ndarray | None]:
+    """R2 and coefficients of a regression from its moments (const, chars, ret); None where it isn't identified or
+    has fewer than two rows more than chars."""
+    gram, cross, yy = m[:-1, :-1], m[:-1, -1], m[-1, -1]
+    if n < len(gram) + 1 or not linear.identified(gram):
+        return None, None
+    beta = np.linalg.solve(gram, cross)
+    explained, total = beta @ cross - m[0, -1] ** 2 / m[0, 0], yy - m[0, -1] ** 2 / m[0, 0]
+    return float(explained / total) if total > 0 else None, beta
+
+
 def solve_moments(moments: DataFrame, k: int) -> DataFrame:
     """(month_idx, nobs, r2, beta array): each month's regression from its moments; NULL where it isn't identified or has fewer than k + 2 rows."""
     size = k + 2
@@ -108,19 +124,51 @@ def solve_moments(moments: DataFrame, k: int) -> DataFrame:
             for n, flat in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 m = np.zeros((size, size))
                 m[np.triu_indices(size)] = flat
-                m = m + np.triu(m, 1).T
-                gram, cross, yy = m[:-1, :-1], m[:-1, -1], m[-1, -1]
-                if n < k + 2 or not linear.identified(gram):
-                    rows.append((n, None, None))
-                    continue
-                beta = np.linalg.solve(gram, cross)
-                total = yy - m[0, -1] ** 2 / m[0, 0]
-                rows.append((n, float((beta @ cross - m[0, -1] ** 2 / m[0, 0]) / total) if total > 0 else None, beta.tolist()))
+                r2, beta = _solved(n, m + np.triu(m, 1).T)
+                rows.append((n, r2, None if beta is None else beta.tolist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["month_idx", "nobs", "r2", "beta"])
 
     return moments.select(F.col("month_idx").cast("int").alias("month_idx"), "n", "moments").mapInArrow(run, "month_idx int, nobs long, r2 double, beta array<double>")
 
 
+def pattern_moments(panel: DataFrame, chars: list[str], ret: str = "ret", n_lags: int = 1) -> DataFrame:
+    """(month_idx, pattern, n, moments): sums of products of (1, chars, ret) as in monthly_moments, apart for the rows of
+    each pattern of chars that are there ('1' or '0' for each). Any subset's regression is solved from them, over just
+    the rows that have all of it, without another look at the stocks."""
+    names = [f"__c{i}" for i in range(len(chars))]
+    df = panel.withColumns({n: lagged_by(["permno"], c, n_lags) for n, c in zip(names, chars, strict=True)})
+    df = df.withColumn("pattern", F.concat(*[F.when(F.col(n).isNotNull(), "1").otherwise("0") for n in names])).where(F.col(ret).isNotNull() & F.contains("pattern", F.lit("1")))
+    z = [F.lit(1.0), *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names], F.col(ret)]
+    sums = [F.sum(z[i] * z[j]) for i in range(len(z)) for j in range(i, len(z))]
+    return df.groupBy("month_idx", "pattern").agg(F.count("*").alias("n"), F.array(*sums).alias("moments"))
+
+
+def subset_betas(moments: DataFrame, chars: list[str], subsets: list[list[str]]) -> DataFrame:
+    """(subset, name, month_idx, beta): coefficients of the regressions of each subset of chars (by its position), from pattern_moments."""
+    size = len(chars) + 2
+    places = [[chars.index(c) for c in s] for s in subsets]
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = []
+        matrices = []
+        for flat in table.column("moments").to_pylist():
+            m = np.zeros((size, size))
+            m[np.triu_indices(size)] = flat
+            matrices.append(m + np.triu(m, 1).T)
+        patterns, counts = table.column("pattern").to_pylist(), table.column("n").to_pylist()
+        for i, at in enumerate(places):
+            fits = [k for k, p in enumerate(patterns) if all(p[c] == "1" for c in at)]
+            keep = [0, *(c + 1 for c in at), size - 1]
+            if fits:
+                beta = _solved(sum(counts[k] for k in fits), sum(matrices[k] for k in fits)[np.ix_(keep, keep)])[1]
+                if beta is not None:
+                    rows += [(i, n, b) for n, b in zip(["const", *subsets[i]], beta.tolist(), strict=True)]
+        month = pa.array([key[0].as_py()] * len(rows), pa.int32())
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), month, pa.array([r[2] for r in rows], pa.float64())], names=["subset", "name", "month_idx", "beta"])
+
+    return moments.select(F.col("month_idx").cast("int").alias("month_idx"), "pattern", "n", "moments").groupBy("month_idx").applyInArrow(run, "subset int, name string, month_idx int, beta double")
+
+
 def fama_macbeth(panel: DataFrame, chars: list[str], ret: str = "ret", n_lags: int = 1, nw_lags: int | None = 6, weight: str | None = None, trim_pct: float = 0) -> DataFrame:
     """(name, mean, tstat, n) of const and each characteristic. nw_lags None: plain t-statistics."""
     months = solve_moments(monthly_moments(panel, chars, ret, n_lags, weight, trim_pct), len(chars)).where("beta IS NOT NULL")

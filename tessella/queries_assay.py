@@ -132,14 +132,14 @@ def spanning_corr(spark, sf_dir):
 
 @query(None)
 def horse_race(spark, sf_dir):
-    got = A.horse_race(_ranked(spark, sf_dir).persist(), dict.fromkeys(THREE, "positive"), threshold=0.5)
+    got = A.horse_race(_ranked(spark, sf_dir), dict.fromkeys(THREE, "positive"), threshold=0.5)
     rows = [(n, t if math.isfinite(t) else None, n in got.survivors, got.dropped.get(n)) for n, t in got.conditional_t.items()]
     return spark.createDataFrame(rows, "signal string, conditional_t double, survives boolean, dropped string")
 
 
 @query(None)
 def spanning(spark, sf_dir):
-    s = A.spanning_test(signals(spark, sf_dir, **THREE).persist(), "signal", ["lev", "turn"], every=6)
+    s = A.spanning_test(signals(spark, sf_dir, **THREE), "signal", ["lev", "turn"], every=6)
     return spark.createDataFrame([(s.status, s.reason, s.controls, s.t_univariate, s.t_conditional, s.valid_months, s.survives_196)], "status string, reason string, controls array<string>, t_univariate double, t_conditional double, valid_months long, survives_196 boolean")
 
 

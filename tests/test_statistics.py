@@ -79,6 +79,65 @@ def test_fama_macbeth_against_numpy(stocks):
         assert got[name]["mean"] == pytest.approx(mean) and got[name].tstat == pytest.approx(t)
 
 
+@pytest.fixture(scope="module")
+def holed(spark, stocks):
+    """The stocks with values missing here and there, unlike in each column."""
+    return stocks.withColumns({c: F.when(F.abs(F.hash("month_idx", "permno", F.lit(c))) % 7 > 0, F.col(c)) for c in ("a", "b")}).withColumn("c", F.when(F.col("permno") % 3 > 0, F.col("a") * 0.5 + F.col("me") / 9))
+
+
+def test_subsets_from_moments(holed):
+    names, subsets = ["a", "b", "c"], [["a", "b", "c"], ["b"], ["c", "a"]]
+    pdf = holed.toPandas().set_index(["month_idx", "permno"])
+    got = {(r.subset, r.name, r.month_idx): r.beta for r in regression.subset_betas(regression.pattern_moments(holed, names), names, subsets).collect()}
+    for i, chosen in enumerate(subsets):
+        for m in range(24001, 24040):
+            both = pdf.xs(m)[["ret"]].join(pdf.xs(m - 1)[chosen], how="inner").dropna()
+            want = np.linalg.lstsq(np.column_stack([np.ones(len(both)), both[chosen]]), both["ret"], rcond=None)[0]
+            assert [got[i, n, m] for n in ["const", *chosen]] == pytest.approx(want.tolist())
+
+
+def test_pair_moments_in_blocks(holed):
+    pdf = holed.toPandas()
+    for rows in (4, 1 << 15):
+        got = {(r.month_idx, r.a, r.b): r for r in assay.pair_moments(holed, ["a", "b", "c"], rows).collect()}
+        assert len(got) == 40 * 3
+        for (m, i, j), r in got.items():
+            both = pdf[pdf.month_idx == m][["a", "b", "c"]].iloc[:, [i, j]].dropna().to_numpy()
+            assert r.n == len(both) and (r.sa, r.sb, r.saa, r.sbb, r.sab) == pytest.approx((*both.sum(axis=0), *(both**2).sum(axis=0), both.prod(axis=1).sum()))
+
+
+def test_pooled_ranks(spark):
+    r = np.random.default_rng(4)
+    x = np.round(r.normal(size=3000), 2)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    got = {k.x: k["rank"] for k in panel.pooled_ranks(df, "x", ranges=16).collect()}
+    assert got == {v: np.count_nonzero(x < v) + (np.count_nonzero(x == v) + 1) / 2 for v in set(x.tolist())}
+    assert panel.pooled_ranks(df.limit(0), "x").count() == 0
+
+
+def test_no_frame_reaches_to_the_end(spark):
+    """A frame from each row to the end of its group costs the group's square."""
+    df = spark.createDataFrame([(1, 0.5, 2.0)], "pos int, p_value double, x double")
+    for plan in (assay.adjusted(df), panel.inverse_percentile(df, df, "x", key="pos")):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" in text and "currentrow$(), unboundedfollowing$()" not in text and "sequence(" not in text
+
+
+def test_beta_matrix_is_bounded(spark, monkeypatch):
+    betas = spark.createDataFrame([(s, m, 1.0) for s in "ab" for m in range(20)], "signal_id string, month_idx int, beta double")
+    assert assay.beta_matrix(betas)[1].shape == (20, 2)
+    monkeypatch.setattr(assay, "MATRIX_BYTES", 200)
+    with pytest.raises(ValueError, match="beyond"):
+        assay.beta_matrix(betas)
+    with pytest.raises(ValueError, match="beyond"):
+        assay.double_bootstrap(spark, np.ones((20, 2)), 0.5)
+
+
+def test_p_values(spark):
+    df = spark.createDataFrame([(0.5,), (-2.0,), (None,), (math.nan,), (math.inf,), (40.0,)], "t double")
+    assert [r.p for r in df.select(assay.two_sided_p("t").alias("p")).collect()] == [linear.two_sided_p(0.5), linear.two_sided_p(2.0), None, None, None, 0.0]
+
+
 def test_partitions_change_nothing(stocks):
     def run(df):
         rets = portfolio.portfolio_returns(portfolio.univariate_sort(df, "a", 5, "nyse"))
