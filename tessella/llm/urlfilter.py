@@ -6,13 +6,15 @@ the whole corpus. Level 1 encodes the listed keys; level 2 the keys of the unive
 wrongly passes; level 3 the listed keys that level 2 passes, and so on until none is left. A key of
 the universe is listed exactly if the number of levels that it passes in a row is odd.
 
-Lookups are built-in functions over bit arrays of a size bound (MAX_BITS a level, checked). Level 1's
-error rate is |listed| / |universe|, so each level is about as large as the listed keys ask for,
-however large the corpus. A list too long for that bound is looked up by an equi-join instead.
+Lookups are built-in functions over bit arrays. Level 1's error rate is |listed| / |universe|, so each
+level is about as large as the listed keys ask for, however large the corpus. A list whose first level
+would take more than MAX_BITS is cut into parts by the hash of the key, each with a cascade of its own of
+about that size; a frame passes AT_ONCE parts at a time, so what a task holds is bounded at any list size.
 
 A null url, or one without "://", has an empty host and path and fits no rule. Repeated pages give
 repeated results; an empty table gives an empty one; other columns are ignored. Equal-length rules
-can't both fit one url unless they are equal; of equal rules the first verdict holds.
+can't both fit one url unless they are equal; of equal rules the first verdict holds (of a table's, the
+first in order). Rules and hosts that are null or hold "#" fit nothing.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import storage
+from tessella.llm.spans import bound
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,7 +40,8 @@ RULES = (
 #: Hosts that are blocked where no rule fits.
 BLOCKED = tuple(f"{name}.example.{tld}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for tld in ("com", "net", "org"))
 
-MAX_BITS, MAX_LEVELS = 1 << 24, 64
+#: Bits of a part's first level, about (2 MB); parts whose levels a task holds at once; levels of a part.
+MAX_BITS, AT_ONCE, MAX_LEVELS = 1 << 24, 16, 64
 #: Ends the key of a whole host; neither a host nor a path holds it.
 HOST_MARK = "#"
 
@@ -77,25 +81,20 @@ def _passes(key: Column, words: Column, level: int, m: int, k: int) -> Column:
     return out
 
 
-class Cascade:
-    """Exact membership of `listed` (column key) among the keys of `universe` (column key)."""
+class Part:
+    """A cascade over some of the listed keys and of the universe; name tells its columns from those of others."""
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS):
+    def __init__(self, listed: DataFrame, universe: DataFrame, name: str = ""):
         self.levels: list[tuple[DataFrame, int, int]] = []
-        self.joined: DataFrame | None = None
-        listed = listed.select("key").distinct()
+        self.name = name
         n, total = listed.count(), universe.count()
         rate = min(0.5, max(1e-12, n / max(1, total)))
-        if _shape(n, rate)[0] > max_bits:
-            self.joined = listed
-            return
         # What level i encodes, and what it must be told apart from: both shrink from level to level.
         inside, outside = listed, universe.join(listed, "key", "left_anti")
         while n:
+            if len(self.levels) == MAX_LEVELS:
+                raise RuntimeError(f"{n} keys are left after {MAX_LEVELS} levels")
             m, k = _shape(n, rate)
-            if m > max_bits or len(self.levels) == MAX_LEVELS:
-                self.levels, self.joined = [], listed
-                return
             self.levels.append((self._encode(inside, m, k), m, k))
             inside, outside = storage.cut(self._survivors(outside), "level"), inside
             n, rate = inside.count(), 0.5
@@ -112,40 +111,82 @@ class Cascade:
         return keys.withColumn("words", words.scalar()).where(_passes(F.col("key"), F.col("words"), len(self.levels), m, k)).select("key")
 
     def with_filters(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({f"__level{i}": words.scalar() for i, (words, _, _) in enumerate(self.levels)})
+        return df.withColumns({f"__level{self.name}_{i}": words.scalar() for i, (words, _, _) in enumerate(self.levels)})
 
     def listed(self, key: Column) -> Column:
-        """Whether key, of the universe, is listed; over a frame that went through with_filters."""
+        """Whether key, of the part's universe, is listed; over a frame that went through with_filters."""
         out = F.lit(len(self.levels) % 2 == 1)
         for i, (_, m, k) in reversed([*enumerate(self.levels)]):
-            out = F.when(_passes(key, F.col(f"__level{i}"), i + 1, m, k), out).otherwise(F.lit(i % 2 == 1))
+            out = F.when(_passes(key, F.col(f"__level{self.name}_{i}"), i + 1, m, k), out).otherwise(F.lit(i % 2 == 1))
         return out
 
+
+class Cascade:
+    """Exact membership of `listed` (column key) among the keys of `universe` (column key), both without repeats."""
+
+    def __init__(self, listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS):
+        listed = storage.cut(listed.select("key").where("key IS NOT NULL").distinct(), "listed")
+        n, total = listed.count(), universe.count()
+        self.n_parts = max(1, math.ceil(_shape(n, min(0.5, max(1e-12, n / max(1, total))))[0] / max_bits)) if n else 1
+        if self.n_parts > 1:  # each part reads its own keys only
+            listed, universe = (storage.cut(df.withColumn("part", self._part(F.col("key"))), "parted") for df in (listed, universe))
+        mine = lambda df, i: df.where(F.col("part") == i).select("key") if self.n_parts > 1 else df.select("key")
+        self.parts = [Part(mine(listed, i), mine(universe, i), str(i)) for i in range(self.n_parts)]
+
+    def _part(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(0)), F.lit(self.n_parts))
+
     def members(self, df: DataFrame, keys_col: str, out_col: str) -> DataFrame:
         """Adds out_col: the elements of df's array keys_col that are listed, in order."""
         kept = [c for c in df.columns if c != out_col]
-        if self.joined is None:
-            return self.with_filters(df).select(*kept, F.filter(keys_col, self.listed).alias(out_col))
-        # Beyond the bound: distinct keys meet the list in an equi-join, and each key set its rows again.
-        sets = df.select(F.col(keys_col).alias("ks")).distinct().select("ks", F.posexplode("ks").alias("i", "key"))
-        hits = sets.join(self.joined, "key").groupBy("ks").agg(F.array_sort(F.collect_list(F.struct("i", "key"))).alias("hits"))
-        return df.join(hits, F.col(keys_col) == F.col("ks"), "left").select(*kept, F.coalesce(F.transform("hits", lambda h: h["key"]), F.array().cast("array<string>")).alias(out_col))
+        for i in range(0, self.n_parts, AT_ONCE):
+            some = [*enumerate(self.parts)][i : i + AT_ONCE]
+            before = F.col(out_col) if i else F.array().cast("array<string>")
+            frame = df if self.n_parts <= AT_ONCE else storage.cut(df, "passing")
+            for _, part in some:
+                frame = part.with_filters(frame)
+
+            def here(some: list[tuple[int, Part]], key: Column) -> Column:
+                if self.n_parts == 1:
+                    return some[0][1].listed(key)
+                out = F.lit(False)
+                for k, part in some:
+                    out = F.when(self._part(key) == k, part.listed(key)).otherwise(out)
+                return out
+
+            df = frame.select(*kept, F.concat(before, F.filter(keys_col, bound(here, some))).alias(out_col))
+        if self.n_parts <= AT_ONCE:
+            return df
+        found = F.col(out_col)
+        return df.select(*kept, F.filter(keys_col, lambda k: F.array_contains(found, k)).alias(out_col))
+
+
+def _table(spark, rows, columns: tuple[str, ...]) -> DataFrame:
+    """rows, as a table of strings; a DataFrame as it is."""
+    if isinstance(rows, DataFrame):
+        return rows.select(*columns)
+    rows = [r if isinstance(r, tuple) else (r,) for r in rows]
+    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, blocked=BLOCKED, default: str = "allow", max_bits: int = MAX_BITS) -> DataFrame:
-    """(page_id, host, path, rule, verdict) of every page: the longest rule that fits, else block for a blocked host, else default."""
+    """(page_id, host, path, rule, verdict) of every page: the longest rule that fits, else block for a blocked host, else
+    default. rules are (host, path, verdict) with verdicts allow and block, blocked are hosts; each a sequence or a table."""
     spark = pages.sparkSession
     host, path = split_url(F.col("url"))
-    lengths = sorted({len(p) for _, p, _ in rules})
+    rules = _table(spark, rules, ("host", "path", "verdict")).where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").where(~F.contains(F.concat("host", "path"), F.lit(HOST_MARK)))
+    rules = rules.withColumn("no", F.monotonically_increasing_id()).groupBy(F.concat("host", "path").alias("key")).agg(F.min_by("verdict", "no").alias("verdict"), F.first(F.length("path")).alias("n"))
+    rules = storage.cut(rules, "rules")
+    hosts = _table(spark, blocked, ("host",)).where(~F.contains("host", F.lit(HOST_MARK))).select(F.concat("host", F.lit(HOST_MARK)).alias("key"))
+    lengths = sorted(r.n for r in rules.select("n").distinct().collect())  # at most as many as a path has characters
     df = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("keys", F.concat(keys_of(F.col("host"), F.col("path"), lengths), keys_of(F.col("host"), F.lit(HOST_MARK), [1])))
-    verdicts: dict[str, str] = {}
-    for h, p, v in rules:
-        verdicts.setdefault(h + p, v)
-    listed = spark.createDataFrame([(k,) for k in [*verdicts, *(h + HOST_MARK for h in blocked)]], "key string")
     universe = storage.cut(df.select(F.explode(F.array_distinct("keys")).alias("key")).distinct(), "universe")
-    found = Cascade(listed, universe, max_bits).members(df, "keys", "hits")
+    found = Cascade(rules.select("key").unionByName(hosts), universe, max_bits).members(df, "keys", "hits")
     of_rule = F.filter("hits", lambda k: ~k.endswith(HOST_MARK))
     longest = F.array_max(F.transform(of_rule, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]
-    by_rule = F.create_map(*[F.lit(x) for kv in verdicts.items() for x in kv]) if verdicts else F.create_map().cast("map<string,string>")
     fallback = F.when(F.exists("hits", lambda k: k.endswith(HOST_MARK)), "block").otherwise(default)
-    return found.select("page_id", "host", "path", longest.alias("rule"), F.coalesce(F.try_element_at(by_rule, longest), fallback).alias("verdict"))
+    found = found.select("page_id", "host", "path", longest.alias("rule"), fallback.alias("fallback")).withColumn("keys", F.array("rule"))
+    # A second cascade, over the rules alone, tells those that block.
+    found = Cascade(rules.where("verdict = 'block'"), rules.select("key"), max_bits).members(found, "keys", "blocks")
+    verdict = F.when(F.col("rule").isNull(), F.col("fallback")).when(F.size("blocks") > 0, "block").otherwise("allow")
+    return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
