@@ -7,12 +7,14 @@ offset, length, URL and digest. The index is committed as a table, so an archive
 left behind is never read. Reading: the index rows of the selected records are sorted by file and
 offset, near ranges are fetched in one read, and each record is parsed and its digest checked.
 
-Null html is empty, a null url is written as an empty one, a null page_id counts as the largest.
-A page_id that is listed twice gives two records. An empty table gives an empty index. Other
-columns are ignored.
+Null html is empty, a null url is written as an empty one, a null page_id counts as the largest. A page_id
+that is listed twice gives two records; if both are first of their payload, that of the smallest url is
+the response, and of rows that are alike in all three one (which can't be told from the others). An empty
+table gives an empty index. Other columns are ignored.
 
 At scale: the choice of responses aggregates digests (partial sums first); page rows move once, by
-digest, in an equi-join whose hot partitions Spark splits. Reads are dealt out by blocks of archives.
+digest, in an equi-join whose hot partitions Spark splits. Reads are dealt out by blocks of archives, to
+as many tasks as the bytes of the selected records ask for.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from tessella.llm import storage
 MIN_REVISIT = 100
 #: Ranges no further apart than GAP are read together, up to READ bytes; a reading task is given blocks of READ bytes.
 GAP, READ = 64 << 10, 4 << 20
+#: Bytes of archives that a reading task is given, at least and where there are more than all cores at a time can take.
+TASK = (1 << 20, 64 << 20)
 LEVEL = 4
 
 INDEX = "page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long, file string, offset long, length long"
@@ -39,13 +43,23 @@ RECORD = "page_id long, url string, payload_digest string, payload_bytes long, r
 
 
 def classified(pages: DataFrame) -> DataFrame:
-    """Adds digest, record_type and refers_to to (page_id, url, html)."""
+    """(page_id, url, html, digest, record_type, refers_to) of (page_id, url, html)."""
     df = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
-    firsts = df.where(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first")).select(F.col("digest").alias("d"), "first", F.lit(True).alias("known"))
+    alike = df.where(F.octet_length("html") >= MIN_REVISIT).groupBy("digest", "page_id", "url").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "url", "n")
+    firsts = alike.groupBy("digest").agg(F.min(order).alias("m")).select(F.col("digest").alias("d"), F.col("m.page_id").alias("first"), F.col("m.url").alias("first_url"), F.col("m.n").alias("n"))
     firsts = storage.cut(firsts, "firsts")  # a plain input, so that Spark can split hot partitions of the join
     df = df.join(firsts.hint("shuffle_hash"), F.col("digest") == F.col("d"), "left")
-    first = F.col("known").isNull() | F.col("page_id").eqNullSafe(F.col("first"))
-    return df.select("page_id", "url", "html", "digest", F.when(first, "response").otherwise("revisit").alias("record_type"), F.when(~first, F.col("first")).alias("refers_to"))
+    is_first = F.col("page_id").eqNullSafe(F.col("first")) & F.col("url").eqNullSafe(F.col("first_url"))
+    first = F.col("d").isNull() | is_first
+    out = ["page_id", "url", "html", "digest", F.when(first, "response").otherwise("revisit").alias("record_type"), F.when(~first, F.col("first")).alias("refers_to")]
+    if firsts.where("n > 1").isEmpty():
+        return df.select(*out)
+    # Rows that are alike in all columns: one of them stands for all, and is dealt out again as a response and its revisits.
+    one = df.where(is_first & (F.col("n") > 1)).dropDuplicates(["digest"])
+    first = F.col("copy") == 1
+    again = one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select(*out[:4], F.when(first, "response").otherwise("revisit").alias("record_type"), F.when(~first, F.col("first")).alias("refers_to"))
+    return df.where(F.col("d").isNull() | ~is_first | (F.col("n") == 1)).select(*out).unionByName(again)
 
 
 def _filesystem(folder: str):
@@ -154,7 +168,10 @@ def read_records(selected: DataFrame, folder: str, with_payload: bool = True) ->
                 i = j
 
     storage.small_batches(selected.sparkSession)
-    ranges = selected.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / READ)).sortWithinPartitions("file", "offset")
+    # The number of tasks is fixed: adaptive execution would merge them by the bytes of the index, not of the archives.
+    total, cores = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0], selected.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-total // TASK[1]), min(4 * cores, -(-total // TASK[0])))
+    ranges = selected.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / READ)).sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(read, RECORD)
 
 
