@@ -5,9 +5,12 @@ reduced to its letters, is cut into blocks, each block is compressed with every
 chosen: the better a dictionary foretells the text, the fewer bytes are left. Where the two smallest
 totals are nearly equal, the choice is rejected.
 
-The sample is SAMPLE_DOCS texts a language (those of the smallest hashes of their content, so that
-copies count once), PIECE characters of each, DICTIONARY bytes in all; it reaches the driver, which
-bounds it by languages x SAMPLE_DOCS x PIECE. Prediction compresses whole texts, in one narrow pass.
+The sample is SAMPLE_DOCS texts of each of the MOST_LANGS languages of most distinct texts (ties by name),
+those of the smallest hashes of their content, so that copies count once; PIECE characters of each,
+DICTIONARY bytes in all. It reaches the driver, which MOST_LANGS x SAMPLE_DOCS x PIECE bounds. No language
+is gathered in one task: hashes beyond SPARE times the share that the sample needs are left out before
+they meet (that fewer are left than needed has no chance that counts). Prediction compresses whole texts,
+in one narrow pass.
 
 A null text, or one without a letter, is `und`, with score 0, and rejected. If no text has a language,
 all are `und`. Ties go to the language first in order. Repeated rows give repeated results; an empty
@@ -29,8 +32,8 @@ from tessella.llm import storage
 
 UNKNOWN = "und"
 SAMPLE_DOCS, PIECE, DICTIONARY = 64, 2000, 64 << 10
-#: Sampled rows (two numbers each) that are broadcast; more are joined by shuffle.
-MOST_PICKED = 100_000
+#: Languages that are learned at most; hashes kept for each hash that is sampled.
+MOST_LANGS, SPARE = 128, 16
 #: Block of a text compressed at once: short enough that the dictionary, not the text itself, foretells it.
 BLOCK, LEVEL = 4096, 6
 #: Least lead of the smallest total over the next, as a share of it.
@@ -56,12 +59,17 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Language -> dictionary, from the rows of docs that have a text with a letter and a language."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.substring(text_col, 1, PIECE).alias("piece"))
-    # Copies meet as one hash, by partial sums; the window's limit is applied before its shuffle too.
-    order = Window.partitionBy("lang").orderBy("h")
-    picked = rows.select("lang", "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_DOCS).select(F.col("lang").alias("l"), F.col("h").alias("k"))
-    picked = storage.cut(picked, "picked")
-    few = F.broadcast(picked) if picked.count() <= MOST_PICKED else picked
-    sample = rows.join(few, (F.col("lang") == F.col("l")) & (F.col("h") == F.col("k")), "left_semi").dropDuplicates(["lang", "h"])
+    # Copies meet as one hash, by partial sums.
+    each = storage.cut(rows.select("lang", "h").distinct(), "hashes")
+    known = each.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    if not known:
+        return {}
+    # A language's smallest hashes lie below a bound that its number of texts tells (as a share of 2^63 on each side).
+    bound = F.create_map(*[F.lit(x) for k in known for x in (k.lang, min(1.0, SPARE * SAMPLE_DOCS / k.n))])
+    low = each.where(F.col("h") / float(1 << 64) + 0.5 <= F.try_element_at(bound, F.col("lang")))
+    picked = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE_DOCS)
+    picked = storage.cut(picked.select(F.col("lang").alias("l"), F.col("h").alias("k")), "picked")
+    sample = rows.join(F.broadcast(picked), (F.col("lang") == F.col("l")) & (F.col("h") == F.col("k")), "left_semi").dropDuplicates(["lang", "h"])
     by: dict[str, list[tuple[int, str]]] = {}
     for x in sample.select("lang", "h", "piece").toLocalIterator():
         by.setdefault(x.lang, []).append((x.h, x.piece))
