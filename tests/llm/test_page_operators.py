@@ -39,6 +39,23 @@ def test_warc(pages):
     assert warc.warc_round_trip(pages.limit(0)).count() == 0
 
 
+def test_pages_that_come_twice(spark):
+    big = "z" * 200
+    rows = [(2, "u", big), (1, "b", big), (1, "a", big), (1, "a", big), (1, "a", big), (5, "x", "w" * 300), (5, "x", "w" * 300), (None, "n", "v" * 150), (None, "n", "v" * 150), (9, "s", "short"), (9, "s", "short")]
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == {(2, "revisit", 1): 1, (1, "revisit", 1): 3, (1, "response", None): 1, (5, "response", None): 1, (5, "revisit", 5): 1, (None, "response", None): 1, (None, "revisit", None): 1, (9, "response", None): 2}
+
+
+def test_reading_is_dealt_out(spark):
+    folder = storage.work_folder(spark, "w")
+    import random
+
+    text = lambda i: "".join(chr(random.Random(i).randrange(33, 127)) for _ in range(6000))
+    index = warc.write_archives(spark.createDataFrame([(i, f"u{i}", text(i) * 40) for i in range(60)], "page_id long, url string, html string"), folder)
+    assert index.agg({"length": "sum"}).first()[0] > 0
+    assert warc.read_records(index.withColumn("length", F.col("length")), folder).count() == 60
+
+
 def test_selected_records(spark, pages):
     folder = storage.work_folder(spark, "w")
     index = warc.write_archives(pages, folder)
@@ -68,12 +85,33 @@ def test_urls(pages, bits):
 def test_cascade_is_exact(spark):
     universe = spark.range(20000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     listed = universe.where("hash(key) % 5 = 0")
-    cascade = urlfilter.Cascade(listed, universe)
-    assert cascade.joined is None and len(cascade.levels) > 1
+    cascade = urlfilter.Part(listed, universe)
+    assert len(cascade.levels) > 1
     got = cascade.with_filters(universe).where(cascade.listed(F.col("key"))).select("key")
     assert got.exceptAll(listed).count() == 0 and listed.exceptAll(got).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1 << 24, 6000, 700])
+def test_cascades_in_parts_are_exact(spark, bits, monkeypatch):
+    monkeypatch.setattr(urlfilter, "AT_ONCE", 2)
+    universe = spark.range(4000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
+    listed = universe.where("hash(key) % 5 = 0").unionByName(spark.sql("SELECT 'elsewhere' AS key"))
+    cascade = urlfilter.Cascade(listed, universe, bits)
+    assert cascade.n_parts == {1 << 24: 1, 6000: 1, 700: cascade.n_parts}[bits] and (bits > 700 or cascade.n_parts > 2)
+    sets = spark.range(1000).select(F.expr("transform(sequence(0, 5), i -> concat('k', (id * 7 + i * 13) % 4000))").alias("keys"))
+    got = [(tuple(r["keys"]), tuple(r["hits"])) for r in cascade.members(sets, "keys", "hits").collect()]
+    want = {r["key"] for r in listed.collect()}
+    assert len(got) == 1000 and all(hits == tuple(k for k in keys if k in want) for keys, hits in got)
+
+
+def test_rules_as_tables(spark, pages):
+    rules = spark.createDataFrame([*urlfilter.RULES, ("org", "/", "block"), (None, "/x", "block"), ("a#b", "/", "block")], "host string, path string, verdict string").coalesce(1)
+    blocked = spark.createDataFrame([(b,) for b in [*urlfilter.BLOCKED, None]], "host string")
+    got = Counter(tuple(r) for r in urlfilter.judge_urls(pages, rules, blocked).collect())
+    assert got == Counter((i, *judged(u)) for i, u, _ in PAGES)
+    assert {r.verdict for r in urlfilter.judge_urls(pages, (), (), "block").collect()} == {"block"}
+
+
 def test_names():
     names = [n for n in queries.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == [*range(1, 11)]
