@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella import sql_linear as L
 from tessella.fixtures import view, with_views
 from tessella.functions import scalar
 from tessella.operators import panel as P
 from tessella.operators import portfolio as S
 from tessella.operators import regression as R
+from tessella.operators import sorts as C
 from tessella.plans.compiler import evaluate
 from tessella.sources import accounting, predictors, securities
 
@@ -303,33 +305,104 @@ def _with_ls(spark, sf_dir):
     return rets.select("month_idx", F.col("ptf").cast("string").alias("ptf"), "ret").unionByName(S.long_short(rets).select("month_idx", F.lit("LS").alias("ptf"), F.col("ls").alias("ret")))
 
 
-@query(f"""{_LS}, a AS (SELECT month_idx, CAST(ptf AS VARCHAR) AS ptf, ret - 0.003 AS y FROM vw UNION ALL SELECT month_idx, 'LS', ls FROM ls)
-SELECT ptf, round(regr_intercept(y, mktrf), 8) + 0.0 AS alpha, round(regr_slope(y, mktrf), 6) + 0.0 AS beta, round(regr_r2(y, mktrf), 6) AS rsq, round(avg(y) * 12, 8) + 0.0 AS mean_ret, round(avg(y) * 12 / (stddev_samp(y) * sqrt(12)), 6) + 0.0 AS sharpe, count(y) AS nobs
-FROM a JOIN fx_factor_month f USING (month_idx) GROUP BY ptf""")
+_Y = f"{_LS}, y0 AS (SELECT month_idx, CAST(ptf AS VARCHAR) AS ptf, ret - 0.003 AS y FROM vw UNION ALL SELECT month_idx, 'LS', ls FROM ls), yf AS (SELECT ptf, month_idx, y, mktrf, smb FROM y0 JOIN fx_factor_month USING (month_idx))"
+_PERF = "pe AS (SELECT ptf, avg(y) * 12 AS mean_ret, avg(y) * 12 / (stddev_samp(y) * sqrt(12)) AS sharpe, avg(y) / (stddev_samp(y) / sqrt(count(y))) AS t_mean_ret FROM yf GROUP BY ptf)"
+
+
+def _regressed(xs: list[str], lags: int | None = 6) -> str:
+    """Oracle columns of factor regressions."""
+    cols = "".join(f", round(b{i + 1}, 6) + 0.0 AS beta{i}, round(t{i + 1}, 5) + 0.0 AS tbeta{i}" for i in range(len(xs)))
+    return f"SELECT ptf, round(b0, 8) + 0.0 AS alpha, round(t0, 5) + 0.0 AS talpha, round(rsq, 6) AS rsq, round(mean_ret, 8) + 0.0 AS mean_ret, round(sharpe, 6) + 0.0 AS sharpe, round(t_mean_ret, 6) + 0.0 AS t_mean_ret, round(b0 * 12 / (resid_sd * sqrt(12)), 4) + 0.0 AS ir, n AS nobs{cols}"
+
+
+def _told(out, k: int):
+    """Columns of factor regressions as the oracles give them."""
+    betas = [(F.round(F.col(c)[i], d) + 0.0).alias(f"{c}{i}") for i in range(k) for c, d in (("beta", 6), ("tbeta", 5))]
+    return out.select("ptf", _r("alpha"), _r("talpha", 5), F.round("rsq", 6).alias("rsq"), _r("mean_ret"), _r("sharpe", 6), _r("t_mean_ret", 6), _r("ir", 4), "nobs", *betas)
+
+
+@query(f"{_Y}, {L.regression('fr', 'yf', 'ptf', ['mktrf'], 6)}, {_PERF} {_regressed(['mktrf'])} FROM fr JOIN pe USING (ptf)")
 def factor_alpha_capm(spark, sf_dir):
-    out = R.factor_regressions(_with_ls(spark, sf_dir), _factors(spark, sf_dir), R.factor_columns(1))
-    return out.select("ptf", _r("alpha"), (F.round(F.col("beta")[0], 6) + 0.0).alias("beta"), F.round("rsq", 6).alias("rsq"), _r("mean_ret"), _r("sharpe", 6), "nobs")
+    return _told(R.factor_regressions(_with_ls(spark, sf_dir), _factors(spark, sf_dir), R.factor_columns(1)), 1)
 
 
-@query(None)
+@query(f"{_Y}, {L.regression('fr', 'yf', 'ptf', ['mktrf', 'smb'], 6)}, {_PERF} {_regressed(['mktrf', 'smb'])} FROM fr JOIN pe USING (ptf)")
 def factor_alpha_two(spark, sf_dir):
-    return R.factor_regressions(_with_ls(spark, sf_dir), _factors(spark, sf_dir), ["Mkt-RF", "SMB"])
+    return _told(R.factor_regressions(_with_ls(spark, sf_dir), _factors(spark, sf_dir), ["Mkt-RF", "SMB"]), 2)
+
+
+@query(f"{_Y}, {L.regression('fr', 'yf', 'ptf', ['mktrf', 'smb'], None)}, {_PERF} {_regressed(['mktrf', 'smb'])} FROM fr JOIN pe USING (ptf)")
+def factor_alpha_plain_t(spark, sf_dir):
+    return _told(R.factor_regressions(_with_ls(spark, sf_dir), _factors(spark, sf_dir), ["Mkt-RF", "SMB"], nw_lags=0), 2)
 
 
-@query(None)
+@query(f"{_Y}, {_PERF}, c AS (SELECT ptf, count(y) AS nobs FROM yf GROUP BY ptf) SELECT ptf, CAST(NULL AS DOUBLE) AS alpha, CAST(NULL AS DOUBLE) AS talpha, CAST(NULL AS DOUBLE) AS rsq, round(mean_ret, 8) + 0.0 AS mean_ret, round(sharpe, 6) + 0.0 AS sharpe, nobs FROM pe JOIN c USING (ptf)")
 def factor_collinear(spark, sf_dir):
     """The fixture's HML equals its SMB, so the three-factor design is refused and alphas are NULL."""
-    return R.factor_regressions(_with_ls(spark, sf_dir), _factors(spark, sf_dir), R.factor_columns(3))
+    out = R.factor_regressions(_with_ls(spark, sf_dir), _factors(spark, sf_dir), R.factor_columns(3))
+    return out.select("ptf", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("alpha", "talpha", "rsq")], _r("mean_ret"), _r("sharpe", 6), "nobs")
+
+
+def _grs_sql(n: int, rets: str, xs: list[str], from_first: str) -> str:
+    """CTEs that end in gx (f_stat, df1, df2) of n portfolios of rets (month_idx, ptf, ret) over the months that have all."""
+    k = len(xs)
+    t = "(SELECT count(*) FROM w)"
+    wide = ", ".join(f"max(ret - 0.003) FILTER (ptf = {i + 1}) AS y{i}" for i in range(n))
+    full = " AND ".join(f"y{i} IS NOT NULL" for i in range(n))
+    stacked = " UNION ALL ".join(f"SELECT {i} AS p, month_idx, y{i} AS y, {', '.join(xs)} FROM w" for i in range(n))
+    cov = ", ".join(f"sum(e{i} * e{j}) / ({t} - {k + 1}) AS a{i}_{j}" for i in range(n) for j in range(n))
+    alphas = ", ".join(f"(SELECT b0 FROM al WHERE p = {i}) AS r{i}_0" for i in range(n))
+    fcov = ", ".join([f"covar_samp({a}, {b}) AS a{i}_{j}" for i, a in enumerate(xs) for j, b in enumerate(xs)] + [f"avg({a}) AS r{i}_0" for i, a in enumerate(xs)] + [f"avg({a}) AS mu{i}" for i, a in enumerate(xs)])
+    return f"""{from_first}, w0 AS (SELECT month_idx, {wide} FROM {rets} GROUP BY month_idx), w AS (SELECT w0.*, {', '.join(xs)} FROM w0 JOIN fx_factor_month USING (month_idx) WHERE {full}),
+st AS ({stacked}), {L.regression('al', 'st', 'p', xs, None)}, ew AS (SELECT month_idx, {', '.join(f'max(e) FILTER (p = {i}) AS e{i}' for i in range(n))} FROM al_e GROUP BY month_idx),
+sg1 AS (SELECT 1 AS one, {cov}, {alphas} FROM ew), {L.eliminated('tp', 'sg1', ['one'], n, 1)}, fm AS (SELECT 1 AS one, {fcov} FROM w), {L.eliminated('bl', 'fm', ['one'], k, 1, [f'mu{i}' for i in range(k)])},
+gx AS (SELECT {t} - {n + k} AS df2, {n} AS df1, ({' + '.join(f"s{i}_0 * (SELECT b0 FROM al WHERE p = {i})" for i in range(n))}) / (SELECT 1 + {' + '.join(f'mu{i} * s{i}_0' for i in range(k))} FROM bl) * ({t} - {n + k}) / {n}.0 AS f_stat FROM tp)"""
+
+
+@query(f"{_grs_sql(5, 'vw', ['mktrf', 'smb'], _LS)} SELECT round(f_stat, 6) AS f_stat, df1, df2 FROM gx")
+def grs(spark, sf_dir):
+    return R.grs_test(_with_ls(spark, sf_dir), _factors(spark, sf_dir), ["Mkt-RF", "SMB"]).select(F.round("f_stat", 6).alias("f_stat"), "df1", "df2")
 
 
-@query(None)
-def grs(spark, sf_dir):
-    return R.grs_test(_with_ls(spark, sf_dir), _factors(spark, sf_dir), ["Mkt-RF", "SMB"])
+_HALF = f"""{SG}, bh AS (SELECT month_idx, quantile_cont(signal, 0.5) FILTER (nyse) AS p FROM sg GROUP BY month_idx HAVING count(signal) >= 5 AND count(signal) FILTER (nyse) >= 3),
+ph AS (SELECT sg.*, CASE WHEN signal IS NOT NULL AND p IS NOT NULL THEN 1 + (signal >= p)::INT END AS ptf FROM sg LEFT JOIN bh USING (month_idx)),
+vh AS (SELECT a.month_idx, b.ptf, sum(b.me * a.ret) / sum(b.me) AS ret FROM ph a JOIN ph b ON b.permno = a.permno AND b.month_idx = a.month_idx - 1 WHERE a.ret IS NOT NULL AND b.ptf IS NOT NULL AND b.me IS NOT NULL GROUP BY a.month_idx, b.ptf)"""
 
 
-@query(None)
+@query(f"{_grs_sql(2, 'vh', ['mktrf'], _HALF)} SELECT round(f_stat, 4) AS f_stat, round(pow(1 + 2 * f_stat / df2, -df2 / 2.0), 8) AS p_value, df1, df2 FROM gx")
+def grs_two_portfolios(spark, sf_dir):
+    """With two portfolios the F distribution's tail has a closed form."""
+    rets = S.portfolio_returns(S.univariate_sort(signals(spark, sf_dir), "signal", 2, "nyse"), n_ptf=2)
+    return R.grs_test(rets, _factors(spark, sf_dir), ["Mkt-RF"]).select(F.round("f_stat", 4).alias("f_stat"), F.round("p_value", 8).alias("p_value"), "df1", "df2")
+
+
+_MV = ", ".join([f"covar_samp(y{i}, y{j}) AS a{i}_{j}" for i in range(5) for j in range(5)] + [f"avg(y{i}) AS {c}{i}{x}" for i in range(5) for c, x in (("r", "_0"), ("mu", ""))])
+_RAW = " + ".join(f"s{i}_0" for i in range(5))
+
+
+@query(f"""{_VW}, w AS (SELECT month_idx, {', '.join(f'max(ret) FILTER (ptf = {i + 1}) AS y{i}' for i in range(5))} FROM vw GROUP BY month_idx), mo AS (SELECT 1 AS one, {_MV} FROM w WHERE {' AND '.join(f'y{i} IS NOT NULL' for i in range(5))}),
+{L.eliminated('so', 'mo', ['one'], 5, 1, [f'mu{i}' for i in range(5)])}, tg AS (SELECT sign(({' + '.join(f's{i}_0 * mu{i}' for i in range(5))}) / ({_RAW})) AS flip, ({_RAW}) AS total, {' + '.join(f's{i}_0 * mu{i}' for i in range(5))} AS gain, {', '.join(f's{i}_0' for i in range(5))} FROM so),
+lo AS ({' UNION ALL '.join(f"SELECT {i + 1} AS ptf, s{i}_0 / total * flip AS weight, sqrt(gain) * sqrt(12) AS sharpe FROM tg" for i in range(5))})
+SELECT CAST(ptf AS BIGINT) AS ptf, round(weight, 5) + 0.0 AS weight, round(sharpe, 6) AS sharpe FROM lo""")
 def mve(spark, sf_dir):
-    return R.mean_variance(S.portfolio_returns(_sorted(spark, sf_dir)))
+    """Without a bound on weights the Sharpe ratio is the root of mean times raw weights: raw weights solve cov w = mean."""
+    return R.mean_variance(S.portfolio_returns(_sorted(spark, sf_dir))).select("ptf", _r("weight", 5), F.round("sharpe", 6).alias("sharpe"))
+
+
+# Composed sorts.
+@query(f"{_grs_sql(5, 'vw', ['mktrf', 'smb'], _Y)}, {L.regression('fr', 'yf', 'ptf', ['mktrf', 'smb'], 6)}, {_PERF}, av AS (SELECT CAST(ptf AS VARCHAR) AS ptf, avg(n) AS mean_n, avg(mve) AS mean_mve FROM vw GROUP BY 1) {_regressed(['mktrf', 'smb'])}, round(mean_n, 6) AS mean_n, round(mean_mve, 2) AS mean_mve, (SELECT round(f_stat, 6) FROM gx) AS grs_f FROM fr JOIN pe USING (ptf) LEFT JOIN av USING (ptf)")
+def run_univariate_sort(spark, sf_dir):
+    out = C.run_univariate(signals(spark, sf_dir), "signal", _factors(spark, sf_dir), ["Mkt-RF", "SMB"], only="nyse")
+    return _told(out, 2).join(out.select("ptf", F.round("mean_n", 6).alias("mean_n"), F.round("mean_mve", 2).alias("mean_mve"), F.round("grs_f", 6).alias("grs_f")), "ptf")
+
+
+_BIV = f"""{_B1}, pq AS (SELECT *, (i - 1) * 3 + j AS ptf FROM b1), y1 AS (SELECT a.month_idx, b.ptf, sum(b.me * a.ret) / sum(b.me) - 0.003 AS y FROM pq a JOIN pq b ON b.permno = a.permno AND b.month_idx = a.month_idx - 1 WHERE a.ret IS NOT NULL AND b.ptf IS NOT NULL AND b.me IS NOT NULL GROUP BY a.month_idx, b.ptf),
+yf AS (SELECT CAST(ptf AS VARCHAR) AS ptf, month_idx, y, mktrf FROM y1 JOIN fx_factor_month USING (month_idx))"""
+
+
+@query(f"{_BIV}, {L.regression('fr', 'yf', 'ptf', ['mktrf'], None)}, {_PERF} {_regressed(['mktrf'])} FROM fr JOIN pe USING (ptf)")
+def run_bivariate_sort(spark, sf_dir):
+    return _told(C.run_bivariate(signals(spark, sf_dir, **TWO), "signal", "lev", _factors(spark, sf_dir), ["Mkt-RF"], 3, 3, only="nyse"), 1)
 
 
 @query(f"""{SG.replace("WITH sg", "WITH sg0")}, sg AS (SELECT * FROM sg0), tb AS (SELECT month_idx, count(lev) AS n, quantile_cont(lev, 0.05) AS lo, quantile_cont(lev, 0.95) AS hi FROM sg GROUP BY month_idx)
