@@ -12,7 +12,7 @@ from tessella.operators import panel as P
 from tessella.operators import portfolio as S
 from tessella.operators import regression as R
 from tessella.plans.compiler import evaluate
-from tessella.plans.expression import ExpressionError
+from tessella.plans.expression import ExpressionError, parse
 
 LEAST_COVERAGE = 0.01
 
@@ -75,22 +75,83 @@ class Evaluator:
             out.error = str(e)
         return out
 
+    def evaluate_all(self, expressions: list[str]) -> list[SignalResult]:
+        """A result for each expression, in order, from one compiled batch: firm-years are evaluated together, and the
+        stock-months of all signals are one table with a key, so that the number of jobs doesn't grow with the batch."""
+        out = [SignalResult(e) for e in expressions]
+        good: dict[str, int] = {}
+        for i, (e, r) in enumerate(zip(expressions, out, strict=True)):
+            try:
+                parse(e, {c.lower() for c in self.firm_year.columns})
+                good[f"s{i:05d}"] = i
+            except ExpressionError as x:
+                r.error = str(x)
+        if not good:
+            return out
+        wide = evaluate(self.firm_year, {k: expressions[i] for k, i in good.items()}, winsorize_pct=1.0)
+        sample = P.monthly_sample(P.to_months(self.stock_month, wide, [*good]), self.first_month).persist()
+        try:
+            share = sample.agg(*[(F.count(k) / ((F.max("month_idx") - F.min("month_idx") + 1) * F.countDistinct("permno"))).alias(k) for k in good]).first()
+            for k in [*good]:
+                out[good[k]].coverage = share[k] or 0.0
+                if out[good[k]].coverage < LEAST_COVERAGE:
+                    out[good[k]].error = f"coverage {out[good[k]].coverage:.4f} is below {LEAST_COVERAGE}"
+                    del good[k]
+            if good:
+                self._figures(sample, good, out)
+        finally:
+            sample.unpersist()
+        return out
+
+    def _figures(self, sample: DataFrame, good: dict[str, int], out: list[SignalResult]) -> None:
+        panel = sample
+        for k in good:
+            panel = P.prepare_signal(panel, k, self.financials, self.microcaps)
+        keys = ["signal_id"]
+        long = panel.unpivot(["month_idx", "permno", "ret", "me", "nyse"], [*good], "signal_id", "signal").persist()
+        try:
+            betas = R.univariate_betas(long, "signal", keys=tuple(keys))
+            for r in R.newey_west(betas, keys=tuple(keys)).collect():
+                out[good[r.signal_id]].fmb_beta, out[good[r.signal_id]].fmb_tstat = r["mean"], r["tstat"]
+            rets = S.portfolio_returns(S.univariate_sort(long, "signal", self.n_ptf, "nyse", keys=tuple(keys)), n_ptf=self.n_ptf, keys=tuple(keys)).persist()
+            ls = S.long_short(rets, self.n_ptf, keys=tuple(keys)).select("month_idx", F.concat(F.lit("LS:"), "signal_id").alias("ptf"), F.col("ls").alias("ret"))
+            for r in R.factor_regressions(ls, self.factors, self.factor_names, None).collect():
+                if r.alpha is not None and r.alpha == r.alpha:
+                    one = out[good[r.ptf[3:]]]
+                    one.ls_alpha, one.ls_talpha, one.ls_sharpe = r.alpha * 12, r.talpha, r.sharpe
+            for r in rets.groupBy("signal_id", "ptf").agg((F.avg("ret") * 1200).alias("m")).orderBy("signal_id", "ptf").collect():
+                out[good[r.signal_id]].quintiles.append(r.m)
+            rets.unpersist()
+        finally:
+            long.unpersist()
+
     def proposals(self, proposals: list[discovery.Proposal], generation: int) -> list[discovery.Evaluated]:
-        """Evaluated proposals, in their order."""
+        """Evaluated proposals of a generation, in their order: one batch."""
         out = []
-        for p in proposals:
-            r = self.evaluate(p.expression)
+        for p, r in zip(proposals, self.evaluate_all([p.expression for p in proposals]), strict=True):
             out.append(discovery.Evaluated(**vars(p), generation=generation, fmb_tstat=r.fmb_tstat, ls_alpha=r.ls_alpha, ls_talpha=r.ls_talpha, ls_sharpe=r.ls_sharpe, coverage=r.coverage, error=r.error))
         return out
 
 
-def multi_model(returns: DataFrame, tables: dict[str, tuple[DataFrame, list[str], str | None]], expected_sign: str = "positive") -> list[dict]:
-    """A row for each factor model: LS alpha, its t, Sharpe, GRS p, and whether it survives in the expected direction."""
+def multi_model(returns: DataFrame, tables: dict[str, tuple[DataFrame, list[str], str | None]], expected_sign: str = "positive", panel: DataFrame | None = None, signal: str = "signal") -> list[dict]:
+    """A row for each factor model: LS alpha (annual), its t, Sharpe, GRS p, and whether it survives in the expected
+    direction. With panel, a last row WLS_FMB: the signal's Fama-MacBeth t with market equity of the month before as weight."""
     out = []
     for name, (table, factors, rf) in tables.items():
         ls = R.factor_regressions(returns.where("ptf = 'LS'"), table, factors, rf).first()
         grs = R.grs_test(returns, table, factors, rf).first()
         ok = ls is not None and ls.talpha is not None and ls.talpha == ls.talpha
         t = (-ls.talpha if expected_sign == "negative" else ls.talpha) if ok else None
-        out.append({"model": name, "alpha": ls.alpha if ok else None, "talpha": ls.talpha if ok else None, "sharpe": ls.sharpe if ok else None, "grs_p": grs.p_value if grs else None, "status": "ok" if ok else "not_estimable", "direction_consistent": bool(ok and t > 0), "survives_196": bool(ok and t > 1.96)})
+        out.append({"model": name, "alpha": ls.alpha * 12 if ok else None, "talpha": ls.talpha if ok else None, "sharpe": ls.sharpe if ok else None, "grs_p": grs.p_value if grs else None, "fmb_tstat": None, "status": "ok" if ok else "not_estimable", "reason": None if ok else "non_finite_alpha_t", "direction_consistent": bool(ok and t > 0), "survives_196": bool(ok and t > 1.96)})
+    if panel is not None:
+        t = {r.name: r.tstat for r in R.fama_macbeth(panel, [signal], weight="me").collect()}.get(signal)
+        ok = t is not None and t == t
+        up = None if not ok else -t if expected_sign == "negative" else t
+        out.append({"model": "WLS_FMB", "alpha": None, "talpha": None, "sharpe": None, "grs_p": None, "fmb_tstat": t if ok else None, "status": "ok" if ok else "not_estimable", "reason": None if ok else "non_finite_wls_fmb_t", "direction_consistent": bool(ok and up > 0), "survives_196": bool(ok and up > 1.96)})
     return out
+
+
+def incomplete(done: list[dict], wanted: list[str], models: list[str]) -> list[str]:
+    """Signals (by signal_id) of a run to be resumed that lack a complete row: one with every model, none in error."""
+    whole = {r["signal_id"] for r in done if r.get("status") != "error" and {m["model"] for m in r.get("results", ())} >= set(models)}
+    return [s for s in wanted if s not in whole]

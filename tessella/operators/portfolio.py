@@ -19,12 +19,13 @@ def _shares(n: int | list[float]) -> Column:
     return F.array(*map(F.lit, points))
 
 
-def breakpoints(panel: DataFrame, value: str, n: int | list[float] = 5, only: str | None = None) -> DataFrame:
-    """(month_idx, points): quantiles of value, over stocks flagged by `only` where given."""
+def breakpoints(panel: DataFrame, value: str, n: int | list[float] = 5, only: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, month_idx, points): quantiles of value, over stocks flagged by `only` where given. keys (say, signal_id)
+    tell panels of several signals apart, here and below."""
     x = F.col(value)
     base = F.when(F.coalesce(F.col(only), F.lit(False)), x) if only else x
-    out = panel.groupBy("month_idx").agg(F.count(x).alias("valid"), F.count(base).alias("base"), F.percentile(base, _shares(n)).alias("points"))
-    return out.where((F.col("valid") >= LEAST_VALID) & (F.col("base") >= LEAST_POINTS)).select("month_idx", "points")
+    out = panel.groupBy(*keys, "month_idx").agg(F.count(x).alias("valid"), F.count(base).alias("base"), F.percentile(base, _shares(n)).alias("points"))
+    return out.where((F.col("valid") >= LEAST_VALID) & (F.col("base") >= LEAST_POINTS)).select(*keys, "month_idx", "points")
 
 
 def cap_weighted_breakpoints(panel: DataFrame, value: str, n: int = 5, me: str = "me", only: str | None = None) -> DataFrame:
@@ -47,13 +48,15 @@ def bucket(value: Column, points: Column) -> Column:
     return F.when(value.isNotNull() & points.isNotNull(), F.size(F.filter(points, lambda b: b <= value)) + 1)
 
 
-def sort_panel(panel: DataFrame, value: str, points: DataFrame, label: str = "ptf") -> DataFrame:
-    return panel.join(points, "month_idx", "left").withColumn(label, bucket(F.col(value), F.col("points"))).drop("points")
+def sort_panel(panel: DataFrame, value: str, points: DataFrame, label: str = "ptf", keys: tuple[str, ...] = ()) -> DataFrame:
+    return panel.join(points, [*keys, "month_idx"], "left").withColumn(label, bucket(F.col(value), F.col("points"))).drop("points")
 
 
-def univariate_sort(panel: DataFrame, value: str, n: int | list[float] = 5, only: str | None = None, label: str = "ptf", cap_weighted: bool = False) -> DataFrame:
-    points = cap_weighted_breakpoints(panel, value, n, only=only) if cap_weighted else breakpoints(panel, value, n, only)
-    return sort_panel(panel, value, points, label)
+def univariate_sort(panel: DataFrame, value: str, n: int | list[float] = 5, only: str | None = None, label: str = "ptf", cap_weighted: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    if cap_weighted and keys:
+        raise ValueError("cap-weighted breakpoints are those of one signal")
+    points = cap_weighted_breakpoints(panel, value, n, only=only) if cap_weighted else breakpoints(panel, value, n, only, keys)
+    return sort_panel(panel, value, points, label, keys)
 
 
 def bivariate_sort(panel: DataFrame, first: str, second: str, n1: int = 5, n2: int = 5, only: str | None = None, conditional: bool = False, label: str = "ptf") -> DataFrame:
@@ -70,9 +73,9 @@ def bivariate_sort(panel: DataFrame, first: str, second: str, n1: int = 5, n2: i
     return df.withColumn(label, (F.col("__i") - 1) * n2 + F.col("__j")).drop("__i", "__j")
 
 
-def lagged(column: str, months: int = 1) -> Column:
+def lagged(column: str, months: int = 1, keys: tuple[str, ...] = ()) -> Column:
     """The stock's value exactly `months` calendar months before."""
-    return F.first(column).over(Window.partitionBy("permno").orderBy("month_idx").rangeBetween(-months, -months))
+    return F.first(column).over(Window.partitionBy(*keys, "permno").orderBy("month_idx").rangeBetween(-months, -months))
 
 
 def held_labels(panel: DataFrame, label: str, holding: int) -> DataFrame:
@@ -89,24 +92,26 @@ def held_labels(panel: DataFrame, label: str, holding: int) -> DataFrame:
     return every.withColumn("held", F.last("given", ignorenulls=True).over(w)).where("real").select("permno", "month_idx", "held")
 
 
-def portfolio_returns(panel: DataFrame, label: str = "ptf", n_ptf: int = 5, weighting: str = "value", min_stocks: int = 1, holding: int = 1) -> DataFrame:
-    """(month_idx, ptf, ret, n, mve) for every month of the panel and label 1..n_ptf. Labels and market equity
+def portfolio_returns(panel: DataFrame, label: str = "ptf", n_ptf: int = 5, weighting: str = "value", min_stocks: int = 1, holding: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, month_idx, ptf, ret, n, mve) for every month of the panel and label 1..n_ptf. Labels and market equity
     are those of the month before. An empty portfolio has n 0, mve 0 and no return."""
-    df = panel.withColumn("__w", lagged("me"))
+    df = panel.withColumn("__w", lagged("me", keys=keys))
+    if holding > 1 and keys:
+        raise ValueError("holding periods are those of one signal")
     if holding > 1:
         df = df.join(held_labels(panel, label, holding), ["permno", "month_idx"])
     else:
-        df = df.withColumn("held", lagged(label))
+        df = df.withColumn("held", lagged(label, keys=keys))
     df = df.where(F.col("held").isNotNull() & F.col("ret").isNotNull())
     if weighting == "value":
         df = df.where(F.col("__w").isNotNull())
         ret, mve = F.when(F.sum("__w") > 0, F.sum(F.col("__w") * F.col("ret")) / F.sum("__w")), F.when(F.sum("__w") > 0, F.sum("__w")).otherwise(0.0)
     else:
         ret, mve = F.avg("ret"), F.coalesce(F.sum("__w"), F.lit(0.0))
-    sums = df.groupBy("month_idx", F.col("held").alias("ptf")).agg(ret.alias("ret"), F.count("*").alias("n"), mve.alias("mve")).where(F.col("n") >= min_stocks)
-    grid = panel.select("month_idx").distinct().select("month_idx", F.explode(F.sequence(F.lit(1), F.lit(n_ptf))).alias("ptf"))
-    out = grid.join(sums, ["month_idx", "ptf"], "left")
-    return out.select("month_idx", "ptf", "ret", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mve", F.lit(0.0)).alias("mve"))
+    sums = df.groupBy(*keys, "month_idx", F.col("held").alias("ptf")).agg(ret.alias("ret"), F.count("*").alias("n"), mve.alias("mve")).where(F.col("n") >= min_stocks)
+    grid = panel.select(*keys, "month_idx").distinct().select(*keys, "month_idx", F.explode(F.sequence(F.lit(1), F.lit(n_ptf))).alias("ptf"))
+    out = grid.join(sums, [*keys, "month_idx", "ptf"], "left")
+    return out.select(*keys, "month_idx", "ptf", "ret", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mve", F.lit(0.0)).alias("mve"))
 
 
 def require_labels(panel: DataFrame, label: str, n_ptf: int) -> None:
@@ -116,9 +121,9 @@ def require_labels(panel: DataFrame, label: str, n_ptf: int) -> None:
         raise ValueError(f"portfolio label {odd[0][0]} lies outside 1..{n_ptf}")
 
 
-def long_short(returns: DataFrame, n_ptf: int = 5) -> DataFrame:
-    """(month_idx, ls): last label less first; NULL where either is."""
+def long_short(returns: DataFrame, n_ptf: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, month_idx, ls): last label less first; NULL where either is."""
     def of(k: int) -> Column:
         return F.max(F.when(F.col("ptf") == k, F.col("ret")))
 
-    return returns.groupBy("month_idx").agg((of(n_ptf) - of(1)).alias("ls"))
+    return returns.groupBy(*keys, "month_idx").agg((of(n_ptf) - of(1)).alias("ls"))

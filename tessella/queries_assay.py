@@ -6,13 +6,14 @@ import math
 
 from pyspark.sql import functions as F
 
+from tessella import sql_linear as L
 from tessella.fixtures import view, with_views
 from tessella.operators import assay as A
 from tessella.operators import evaluator, runs
 from tessella.operators import panel as P
 from tessella.operators import regression as R
 from tessella.plans.catalog import VARIABLES
-from tessella.queries_panel import _FMB, SG, TWO, _factors, _r, nw_sql, signals
+from tessella.queries_panel import _FMB, _PCT, FIRST, SG, TWO, _factors, _r, nw_sql, signals
 
 Q, O = {}, {}
 
@@ -64,10 +65,27 @@ def bayes(spark, sf_dir):
     return out.select("signal_no", *[F.round(c, 8).alias(c) for c in ("bayes_p_005", "bayes_p_020", "bayes_p_050", "sd_mbf")])
 
 
-@query(None)
+@query(f"SELECT signal_no, round({L.two_sided_p('fmb_tstat')}, 8) + 0.0 AS p_value FROM fx_evaluated WHERE fmb_tstat IS NOT NULL")
 def p_values(spark, sf_dir):
     ev = view(spark, sf_dir, "fx_evaluated").where("fmb_tstat IS NOT NULL")
-    return ev.select("signal_no", A.two_sided_p("fmb_tstat").alias("p_value"))
+    return ev.select("signal_no", (F.round(A.two_sided_p("fmb_tstat"), 8) + 0.0).alias("p_value"))
+
+
+@query(f"""{_P}, n AS (SELECT any_value(m) AS m, count(*) FILTER (p * m <= 0.05) AS n_reject_bonf, any_value(c) AS c FROM h WHERE run = 'run0'),
+ho AS (SELECT count(*) AS n_reject_holm FROM h x WHERE run = 'run0' AND (SELECT max((q.m - q.rank + 1) * q.p) FROM h q WHERE q.run = 'run0' AND q.rank <= x.rank) <= 0.05), bh AS (SELECT ifnull(max(rank), 0) AS n_reject_bhy FROM h WHERE run = 'run0' AND p <= rank / (m * c) * 0.05)
+SELECT m, n_reject_bonf, n_reject_holm, n_reject_bhy, round(0.05 / m, 10) AS bonf_p, CASE WHEN n_reject_bhy > 0 THEN round(0.05 * n_reject_bhy / (m * c), 10) END AS bhy_p FROM n, ho, bh""")
+def testing_summary(spark, sf_dir):
+    """Hurdles in t, told by the p-values that belong to them."""
+    told = A.testing_summary(_adjusted(spark, sf_dir).where("run = 'run0'"))
+    rows = spark.createDataFrame([{k: float(v) if k.endswith("_t") else v for k, v in told.items()}])
+    p = lambda c: F.when(~F.isnan(c), F.round(A.two_sided_p(c), 10))
+    return rows.select("m", "n_reject_bonf", "n_reject_holm", "n_reject_bhy", p("bonf_t").alias("bonf_p"), p("bhy_t").alias("bhy_p"))
+
+
+@query(" UNION ALL ".join(f"SELECT CAST({p!r} AS DOUBLE) AS prior, round(sqrt(-2 * ln(0.05 / 0.95 / ((1 - {p!r}) / {p!r}))), 8) AS required_t" for p in A.PRIORS))
+def required_t(spark, sf_dir):
+    """By bisection; the closed form is the oracle's."""
+    return spark.createDataFrame([(p, A.required_t(p)) for p in A.PRIORS], "prior double, required_t double").withColumn("required_t", F.round("required_t", 8))
 
 
 #: Periods that the test tables' months reach.
@@ -95,10 +113,17 @@ def decay_windows(spark, sf_dir):
     return A.decay_windows(panel, betas, 24, 6).select(F.col("win").cast("int").alias("win"), F.col("centre").cast("int").alias("centre"), _r("tstat", 6))
 
 
-@query(None)
+_DW = f"""{_FMB}, sp AS (SELECT min(month_idx) AS a, max(month_idx) AS b FROM sg), st AS (SELECT CAST((s - a) / 6 AS INT) AS win, CAST(s AS INT) AS start FROM sp, generate_series((SELECT min(month_idx) FROM sg), (SELECT max(month_idx) FROM sg) - 23, 6) g(s)),
+wn AS (SELECT st.win, bt.month_idx, bt.beta FROM st JOIN bt ON bt.month_idx > st.start AND bt.month_idx < st.start + 24), {nw_sql('wn', 'win')}"""
+_DT = f"dt AS (SELECT 1 AS one, row_number() OVER (ORDER BY win) AS month_idx, abs(tstat) AS y, CAST(win AS DOUBLE) AS x FROM nw WHERE tstat IS NOT NULL), {L.regression('tr', 'dt', 'one', ['x'], 3)}"
+
+
+@query(f"{_DW}, {_DT} SELECT round(b1, 8) + 0.0 AS slope, round(t1, 5) + 0.0 AS tstat, CASE WHEN t1 > 1.96 THEN 'strengthening' WHEN t1 < -1.96 THEN 'decaying' ELSE 'stable' END AS classification FROM tr WHERE n >= 12 UNION ALL SELECT NULL, NULL, 'insufficient_data' FROM tr WHERE n < 12")
 def decay_trend(spark, sf_dir):
     panel, betas = _betas(spark, sf_dir)
-    return spark.createDataFrame([A.decay_trend(A.decay_windows(panel, betas, 24, 6), 24, 6)])
+    told = A.decay_trend(A.decay_windows(panel, betas, 24, 6), 24, 6)
+    rows = spark.createDataFrame([(told["slope"], told["tstat"], told["classification"])], "slope double, tstat double, classification string")
+    return rows.select(*[F.when(~F.isnan(c), F.round(c, d) + 0.0).alias(c) for c, d in (("slope", 8), ("tstat", 5))], "classification")
 
 
 THREE = {**TWO, "turn": "RATIO(che, at)"}
@@ -130,17 +155,55 @@ def spanning_corr(spark, sf_dir):
     return A.spanning_correlations(signals(spark, sf_dir, **THREE), "signal", ["lev", "turn"], every=6).select("control", "n_months", _r("corr"))
 
 
-@query(None)
+_NAMES = ["signal", "lev", "turn"]
+_SETS = {"123": _NAMES, "12": ["signal", "lev"], "13": ["signal", "turn"], "23": ["lev", "turn"], "1": ["signal"], "2": ["lev"], "3": ["turn"]}
+_WIDE = f"{_C}, wd AS (SELECT month_idx, permno, {', '.join(f"max(v) FILTER (name = '{n}') AS {n}" for n in _NAMES)} FROM rk GROUP BY month_idx, permno)"
+_RACE = f"xr AS (SELECT a.month_idx, a.ret AS y, b.signal, b.lev, b.turn FROM sg a JOIN wd b ON b.permno = a.permno AND b.month_idx = a.month_idx - 1 WHERE a.ret IS NOT NULL)"
+
+
+def _without(alive: str, name: str) -> str:
+    return f"replace({alive}, CASE {name} WHEN 'signal' THEN '1' WHEN 'lev' THEN '2' ELSE '3' END, '')"
+
+
+def _race_sql() -> str:
+    """Backward elimination over the t's of all subsets; the fixture's signals are no near-duplicates."""
+    steps = ["z0 AS (SELECT '123' AS alive, CAST(NULL AS VARCHAR) AS gone, CAST(NULL AS VARCHAR) AS why)"]
+    for i in range(3):
+        steps.append(f"w{i} AS (SELECT tt.* FROM tt JOIN z{i} ON tt.subset = z{i}.alive ORDER BY tstat, CASE name WHEN 'signal' THEN 1 WHEN 'lev' THEN 2 ELSE 3 END LIMIT 1)")
+        steps.append(f"z{i + 1} AS (SELECT CASE WHEN w.tstat <= 0.5 THEN {_without('z.alive', 'w.name')} ELSE z.alive END AS alive, CASE WHEN w.tstat <= 0.5 THEN w.name END AS gone, CASE WHEN w.tstat <= 0 THEN 'conditional_sign_mismatch' WHEN w.tstat <= 0.5 THEN 'conditional_t_below_threshold' END AS why FROM z{i} z LEFT JOIN w{i} w ON TRUE)")
+    gone = " UNION ALL ".join(f"SELECT gone, why FROM z{i} WHERE gone IS NOT NULL" for i in (1, 2, 3))
+    return f"{', '.join(steps)}, gn AS ({gone})"
+
+
+@query(f"""{_WIDE}, {_RACE}, {L.fama_macbeth('fs', 'xr', _SETS)}, fk AS (SELECT subset || ':' || name AS key, month_idx, beta FROM fs), {nw_sql('fk', 'key')}, tt AS (SELECT split_part(key, ':', 1) AS subset, split_part(key, ':', 2) AS name, tstat FROM nw), {_race_sql()}
+SELECT name AS signal, round(tstat, 5) + 0.0 AS conditional_t, gn.gone IS NULL AS survives, gn.why AS dropped FROM tt LEFT JOIN gn ON gn.gone = tt.name WHERE subset = '123'""")
 def horse_race(spark, sf_dir):
     got = A.horse_race(_ranked(spark, sf_dir), dict.fromkeys(THREE, "positive"), threshold=0.5)
     rows = [(n, t if math.isfinite(t) else None, n in got.survivors, got.dropped.get(n)) for n, t in got.conditional_t.items()]
-    return spark.createDataFrame(rows, "signal string, conditional_t double, survives boolean, dropped string")
+    return spark.createDataFrame(rows, "signal string, conditional_t double, survives boolean, dropped string").withColumn("conditional_t", F.round("conditional_t", 5) + 0.0)
 
 
-@query(None)
+_RAW = f"""{_C}, wd AS (SELECT month_idx, permno, {', '.join(f"max(v) FILTER (name = '{n}') AS {n}" for n in _NAMES)} FROM un GROUP BY month_idx, permno)"""
+
+
+@query(f"""{_RAW}, {_RACE}, {L.fama_macbeth('fs', 'xr', {"123": _NAMES, "1": ["signal"]})}, fk AS (SELECT subset AS key, month_idx, beta FROM fs WHERE name = 'signal'), {nw_sql('fk', 'key')},
+m6 AS (SELECT month_idx FROM (SELECT month_idx, row_number() OVER (ORDER BY month_idx) - 1 AS i FROM (SELECT DISTINCT month_idx FROM sg)) WHERE i % 6 = 0),
+cm AS (SELECT y.name AS control, x.month_idx, corr(x.v, y.v) AS r FROM rk x JOIN rk y USING (month_idx, permno) JOIN m6 USING (month_idx) WHERE x.name = 'signal' AND y.name <> 'signal' GROUP BY ALL HAVING count(*) >= 30),
+sh AS (SELECT y.name AS control FROM rk y JOIN m6 USING (month_idx) WHERE y.name <> 'signal' GROUP BY 1 HAVING count(DISTINCT month_idx) >= 6 AND count(DISTINCT permno) >= 50),
+cr AS (SELECT control, avg(r) AS r FROM cm SEMI JOIN sh USING (control) GROUP BY control), ok AS (SELECT count(*) > 0 AS ok FROM cr), vm AS (SELECT count(*) AS n FROM (SELECT month_idx FROM (SELECT a.month_idx FROM wd a JOIN sg b ON b.permno = a.permno AND b.month_idx = a.month_idx + 1 WHERE b.ret IS NOT NULL AND a.signal IS NOT NULL AND a.lev IS NOT NULL AND a.turn IS NOT NULL) GROUP BY month_idx HAVING count(*) >= 5))
+SELECT CASE WHEN any_value(ok) THEN 'ok' ELSE 'not_estimable' END AS status, CASE WHEN NOT any_value(ok) THEN 'no_overlapping_controls' END AS reason, ifnull((SELECT string_agg(control, ',' ORDER BY abs(r) DESC, control) FROM cr), '') AS controls,
+round(max(tstat) FILTER (key = '1' AND ok), 5) + 0.0 AS t_univariate, round(max(tstat) FILTER (key = '123' AND ok), 5) + 0.0 AS t_conditional, CASE WHEN any_value(ok) THEN (SELECT n FROM vm) ELSE 0 END AS valid_months, ifnull(max(tstat) FILTER (key = '123' AND ok) > 1.96, false) AS survives_196 FROM nw, ok""")
 def spanning(spark, sf_dir):
     s = A.spanning_test(signals(spark, sf_dir, **THREE), "signal", ["lev", "turn"], every=6)
-    return spark.createDataFrame([(s.status, s.reason, s.controls, s.t_univariate, s.t_conditional, s.valid_months, s.survives_196)], "status string, reason string, controls array<string>, t_univariate double, t_conditional double, valid_months long, survives_196 boolean")
+    rows = [(s.status, s.reason, ",".join(s.controls), s.t_univariate, s.t_conditional, s.valid_months, s.survives_196)]
+    return spark.createDataFrame(rows, "status string, reason string, controls string, t_univariate double, t_conditional double, valid_months long, survives_196 boolean").withColumns({c: F.when(~F.isnan(c), F.round(c, 5) + 0.0) for c in ("t_univariate", "t_conditional")})
+
+
+@query(f"""{_RAW}, g AS (SELECT month_idx, count(*) AS n, var_pop(signal) AS vs, var_pop(lev) AS vl, var_pop(turn) AS vt FROM wd WHERE signal IS NOT NULL AND lev IS NOT NULL AND turn IS NOT NULL AND month_idx < (SELECT max(month_idx) FROM sg) GROUP BY month_idx)
+SELECT count(*) FILTER (n >= 5) AS coverage, count(*) FILTER (n >= 5 AND vs > 0 AND vl > 0 AND vt > 0) AS nonzero_variance FROM g""")
+def design_diagnostics(spark, sf_dir):
+    d = A.design_diagnostics(signals(spark, sf_dir, **THREE), ["signal", "lev", "turn"])
+    return spark.createDataFrame([(d["coverage"], d["nonzero_variance"])], "coverage long, nonzero_variance long")
 
 
 @query(None)
@@ -150,11 +213,48 @@ def double_bootstrap(spark, sf_dir):
     return A.double_bootstrap(spark, matrix, 1 / 3, n_rank=16, n_eval=20)
 
 
-@query(None)
+def _evaluator(spark, sf_dir):
+    return evaluator.Evaluator(view(spark, sf_dir, "fx_firm_year"), view(spark, sf_dir, "fx_stock_month"), _factors(spark, sf_dir), ["Mkt-RF", "SMB"], first_month=FIRST)
+
+
+def _evaluated_sql(raw: str) -> str:
+    """CTEs from a raw signal over fx_firm_year to the evaluator's figures: ev (coverage, ls_alpha, ls_talpha, ls_sharpe, q1..q5, fmb_tstat)."""
+    return f"""WITH rw AS (SELECT permno, form_year, {raw} AS x FROM fx_firm_year f), qb AS (SELECT form_year, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM rw GROUP BY form_year),
+sg AS (SELECT m.*, CASE WHEN x IS NOT NULL THEN greatest(least(x, hi), lo) END AS signal FROM fx_stock_month m LEFT JOIN rw USING (permno, form_year) LEFT JOIN qb USING (form_year)),
+b AS (SELECT greatest(min(month_idx) FILTER (ret IS NOT NULL), min(month_idx) FILTER (me IS NOT NULL), {FIRST}) AS lo, least(max(month_idx) FILTER (ret IS NOT NULL), max(month_idx) FILTER (me IS NOT NULL)) AS hi FROM sg),
+ok AS (SELECT permno FROM sg GROUP BY permno HAVING count(ret) > 0 AND count(me) > 0),
+sm AS (SELECT sg.*, siccd >= 6000 AND siccd < 7000 AS fin FROM sg, b WHERE month_idx BETWEEN lo AND hi AND permno IN (SELECT permno FROM ok)),
+rk AS (SELECT *, {_PCT.format(x="signal")} - 0.5 AS r, count(signal) OVER (PARTITION BY month_idx) > 0 AS anysig FROM sm), c AS (SELECT month_idx, quantile_cont(me, 0.1) FILTER (nyse) AS cutoff FROM sm GROUP BY month_idx),
+pr AS (SELECT rk.* EXCLUDE (signal), CASE WHEN anysig AND NOT fin AND me IS NOT NULL AND me > cutoff THEN ifnull(r, 0) END AS signal FROM rk JOIN c USING (month_idx)),
+v AS (SELECT month_idx, count(signal) AS valid, count(signal) FILTER (nyse) AS base, quantile_cont(signal, [0.2, 0.4, 0.6, 0.8]) FILTER (nyse) AS pts FROM pr GROUP BY month_idx), bp AS (SELECT month_idx, pts FROM v WHERE valid >= 5 AND base >= 3),
+pf AS (SELECT pr.*, CASE WHEN signal IS NOT NULL AND pts IS NOT NULL THEN 1 + (signal >= pts[1])::INT + (signal >= pts[2])::INT + (signal >= pts[3])::INT + (signal >= pts[4])::INT END AS ptf FROM pr LEFT JOIN bp USING (month_idx)),
+vw AS (SELECT a.month_idx, b.ptf, sum(b.me * a.ret) / sum(b.me) AS ret FROM pf a JOIN pf b ON b.permno = a.permno AND b.month_idx = a.month_idx - 1 WHERE a.ret IS NOT NULL AND b.ptf IS NOT NULL AND b.me IS NOT NULL GROUP BY a.month_idx, b.ptf),
+ls AS (SELECT month_idx, max(ret) FILTER (ptf = 5) - max(ret) FILTER (ptf = 1) AS y FROM vw GROUP BY month_idx), yf AS (SELECT 'LS' AS ptf, month_idx, y, mktrf, smb FROM ls JOIN fx_factor_month USING (month_idx)), {L.regression('fr', 'yf', 'ptf', ['mktrf', 'smb'], 6)},
+x AS (SELECT a.month_idx, a.ret, b.signal AS x FROM pr a JOIN pr b ON b.permno = a.permno AND b.month_idx = a.month_idx - 1 WHERE a.ret IS NOT NULL AND b.signal IS NOT NULL), bt AS (SELECT month_idx, regr_slope(ret, x) AS beta FROM x GROUP BY month_idx HAVING count(*) >= 3 AND var_pop(x) > 0), {nw_sql('bt')},
+ev AS (SELECT (SELECT count(signal) / ((max(month_idx) - min(month_idx) + 1) * count(DISTINCT permno)) FROM sm) AS coverage, b0 * 12 AS ls_alpha, t0 AS ls_talpha, (SELECT avg(y) * 12 / (stddev_samp(y) * sqrt(12)) FROM yf) AS ls_sharpe, (SELECT tstat FROM nw) AS fmb_tstat, (SELECT avg(ret) * 1200 FROM vw WHERE ptf = 1) AS q1, (SELECT avg(ret) * 1200 FROM vw WHERE ptf = 5) AS q5 FROM fr)"""
+
+
+_EXPRESSIONS = {"RATIO(SUB(revt, cogs), at)": 'CASE WHEN abs("at") > 1e-10 THEN (revt - cogs) / "at" END', "RATIO(xrd, at)": 'CASE WHEN abs("at") > 1e-10 THEN xrd / "at" END'}
+_FIGURES = "round(coverage, 8) AS coverage, round(ls_alpha, 6) + 0.0 AS ls_alpha, round(ls_talpha, 3) + 0.0 AS ls_talpha, round(ls_sharpe, 4) + 0.0 AS ls_sharpe, round(q1, 5) + 0.0 AS q1, round(q5, 5) + 0.0 AS q5, round(fmb_tstat, 4) + 0.0 AS fmb_tstat"
+
+
+def _figures(spark, results):
+    rows = [(r.expression, r.coverage, r.ls_alpha, r.ls_talpha, r.ls_sharpe, *((r.quintiles[0], r.quintiles[4]) if r.quintiles else (None, None)), r.fmb_tstat, r.error) for r in results]
+    df = spark.createDataFrame(rows, "expression string, coverage double, ls_alpha double, ls_talpha double, ls_sharpe double, q1 double, q5 double, fmb_tstat double, error string")
+    digits = {"coverage": 8, "ls_alpha": 6, "ls_talpha": 3, "ls_sharpe": 4, "q1": 5, "q5": 5, "fmb_tstat": 4}
+    return df.select("expression", *[_r(c, d) for c, d in digits.items()], "error")
+
+
+@query(f"{_evaluated_sql(_EXPRESSIONS['RATIO(SUB(revt, cogs), at)'])} SELECT 'RATIO(SUB(revt, cogs), at)' AS expression, {_FIGURES}, CAST(NULL AS VARCHAR) AS error FROM ev")
 def evaluate_signal(spark, sf_dir):
-    e = evaluator.Evaluator(view(spark, sf_dir, "fx_firm_year"), view(spark, sf_dir, "fx_stock_month"), _factors(spark, sf_dir), ["Mkt-RF", "SMB"], first_month=1995 * 12 + 1)
-    r = e.evaluate("RATIO(SUB(revt, cogs), at)")
-    return spark.createDataFrame([(r.expression, r.coverage, r.ls_alpha, r.ls_talpha, r.ls_sharpe, r.quintiles, r.fmb_tstat, r.error)], "expression string, coverage double, ls_alpha double, ls_talpha double, ls_sharpe double, quintiles array<double>, fmb_tstat double, error string")
+    return _figures(spark, [_evaluator(spark, sf_dir).evaluate("RATIO(SUB(revt, cogs), at)")])
+
+
+@query(f"{_evaluated_sql(_EXPRESSIONS['RATIO(xrd, at)'])} SELECT 'RATIO(xrd, at)' AS expression, {_FIGURES}, false AS failed FROM ev UNION ALL SELECT 'RATIO(xrd)', NULL, NULL, NULL, NULL, NULL, NULL, NULL, true UNION ALL SELECT 'NOSUCH(at)', NULL, NULL, NULL, NULL, NULL, NULL, NULL, true")
+def evaluate_batch(spark, sf_dir):
+    """A generation as one batch: signals that can't be compiled are results of their own, and don't hold up the others."""
+    out = _figures(spark, _evaluator(spark, sf_dir).evaluate_all(["RATIO(xrd, at)", "RATIO(xrd)", "NOSUCH(at)"]))
+    return out.withColumn("failed", F.col("error").isNotNull()).drop("error")
 
 
 # Run analytics.

@@ -311,14 +311,14 @@ _PERF = "pe AS (SELECT ptf, avg(y) * 12 AS mean_ret, avg(y) * 12 / (stddev_samp(
 
 def _regressed(xs: list[str], lags: int | None = 6) -> str:
     """Oracle columns of factor regressions."""
-    cols = "".join(f", round(b{i + 1}, 6) + 0.0 AS beta{i}, round(t{i + 1}, 5) + 0.0 AS tbeta{i}" for i in range(len(xs)))
-    return f"SELECT ptf, round(b0, 8) + 0.0 AS alpha, round(t0, 5) + 0.0 AS talpha, round(rsq, 6) AS rsq, round(mean_ret, 8) + 0.0 AS mean_ret, round(sharpe, 6) + 0.0 AS sharpe, round(t_mean_ret, 6) + 0.0 AS t_mean_ret, round(b0 * 12 / (resid_sd * sqrt(12)), 4) + 0.0 AS ir, n AS nobs{cols}"
+    cols = "".join(f", round(b{i + 1}, 5) + 0.0 AS beta{i}, round(t{i + 1}, 4) + 0.0 AS tbeta{i}" for i in range(len(xs)))
+    return f"SELECT ptf, round(b0, 8) + 0.0 AS alpha, round(t0, 4) + 0.0 AS talpha, round(rsq, 5) AS rsq, round(mean_ret, 8) + 0.0 AS mean_ret, round(sharpe, 6) + 0.0 AS sharpe, round(t_mean_ret, 6) + 0.0 AS t_mean_ret, round(b0 * 12 / (resid_sd * sqrt(12)), 4) + 0.0 AS ir, n AS nobs{cols}"
 
 
 def _told(out, k: int):
     """Columns of factor regressions as the oracles give them."""
-    betas = [(F.round(F.col(c)[i], d) + 0.0).alias(f"{c}{i}") for i in range(k) for c, d in (("beta", 6), ("tbeta", 5))]
-    return out.select("ptf", _r("alpha"), _r("talpha", 5), F.round("rsq", 6).alias("rsq"), _r("mean_ret"), _r("sharpe", 6), _r("t_mean_ret", 6), _r("ir", 4), "nobs", *betas)
+    betas = [(F.round(F.col(c)[i], d) + 0.0).alias(f"{c}{i}") for i in range(k) for c, d in (("beta", 5), ("tbeta", 4))]
+    return out.select("ptf", _r("alpha"), _r("talpha", 4), F.round("rsq", 5).alias("rsq"), _r("mean_ret"), _r("sharpe", 6), _r("t_mean_ret", 6), _r("ir", 4), "nobs", *betas)
 
 
 @query(f"{_Y}, {L.regression('fr', 'yf', 'ptf', ['mktrf'], 6)}, {_PERF} {_regressed(['mktrf'])} FROM fr JOIN pe USING (ptf)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-TO_NORMAL = "list_sum(list_transform(range(0, 120), n -> exp((2 * n + 1) * ln(greatest(abs({x}) / sqrt(2), 1e-300)) - lgamma(n + 1.5) - {x} * {x} / 2)))"
+TO_NORMAL = "list_sum(list_transform(range(0, 120), lambda n: exp((2 * n + 1) * ln(greatest(abs({x}) / sqrt(2), 1e-300)) - lgamma(n + 1.5) - {x} * {x} / 2)))"
 
 
 def two_sided_p(x: str) -> str:
