@@ -7,11 +7,15 @@ the label that led to it, so the automaton is deterministic, and a label sequenc
 if it is the BPE encoding of its text. Rows of arcs are shared between states: a gadget stores when a
 row was forked and when an arc ended, and a row's entry is worked out on its first use and kept.
 
-A word is encoded by a walk from the start state that spells it: at each place the longest label with
-an arc is tried first; one path at most leads to a place, so a place from which none goes on is dead
-for good and the walk is linear. The arcs passed give the ids; decoding emits the labels of the arcs. Text is split into words by the byte-level pattern first, special
-tokens before that. Whole texts are encoded, null ones as empty; an empty table gives an empty one;
-repeated rows give repeated results; other columns are ignored.
+A word is encoded by transitions alone, byte by byte and without turning back: after each byte the state
+is the label that ends the encoding of the bytes so far, which is the one label ending there with an arc
+from the state held where it begins (there is exactly one, since every prefix has one encoding; longer
+labels are tried first). The labels that may end at a byte come from a table over the last bytes. The
+states of recent beginnings of words are held, so that a word goes on from the longest of them. The
+states passed, from the last one back, are the arcs; they give the ids, and decoding emits the labels of
+the arcs. Text is split into words by the byte-level pattern first, special tokens before that. Whole
+texts are encoded, null ones as empty; an empty table gives an empty one; repeated rows give repeated
+results; other columns are ignored.
 
 Each row is encoded by itself: one narrow pass, no shuffle. The vocabulary (a few MB) is broadcast.
 Words recur, so a worker keeps the encodings of recent words, in a cache of bounded size.
@@ -33,12 +37,14 @@ from tessella.llm import storage
 # Fixed value: the pattern that splits text into words before the merges.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of a worker's cache generation; two generations are held.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 160_000
+#: Worked-out arcs of a generation, of which two are held, and beginnings of words whose state is held.
+CACHE_ARCS = 200_000
 NEVER = 1 << 60
 #: Bits of a label's id.
 SHIFT = 24
-#: Bytes by which the labels that may follow are looked up.
-PREFIX = 4
+#: Bytes by which the labels that may end are looked up.
+SUFFIX = 4
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -48,21 +54,22 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Starts(dict):
-    """First bytes of a rest of a word (up to PREFIX) -> lengths of the labels that may begin it, longest first."""
+class _Ends(dict):
+    """Last bytes of a word's beginning (up to SUFFIX) -> (length, label) of the labels that may end it, longest first;
+    label is -1 where more bytes must be looked at."""
 
     def __init__(self, labels: dict[bytes, int]):
         super().__init__()
         self.labels, self.longer = labels, {}
         for x in labels:
-            if len(x) >= PREFIX:
-                self.longer.setdefault(x[:PREFIX], set()).add(len(x))
+            if len(x) > SUFFIX:
+                self.longer.setdefault(x[-SUFFIX:], set()).add(len(x))
 
-    def __missing__(self, head: bytes) -> tuple[int, ...]:
-        sizes = {n for n in range(1, min(len(head), PREFIX - 1) + 1) if head[:n] in self.labels} | self.longer.get(head, set())
+    def __missing__(self, tail: bytes) -> tuple[tuple[int, int], ...]:
+        short = [(n, self.labels[tail[-n:]]) for n in range(len(tail), 0, -1) if tail[-n:] in self.labels]
         if len(self) >= CACHE_WORDS:
             self.clear()
-        got = self[head] = tuple(sorted(sizes, reverse=True))
+        got = self[tail] = (*((n, -1) for n in sorted(self.longer.get(tail, ()), reverse=True)), *short)
         return got
 
 
@@ -80,11 +87,15 @@ class MergeAutomaton:
         self.left, self.right, self.born = [-1] * size, [-1] * size, [-1] * size
         self.ended: dict[tuple[int, int], int] = {}
         self._life: dict[int, int] = {}
+        self._old: dict[int, int] = {}
         self.arc_of = {self.label[i]: i for i in vocab.values() if len(self.label[i]) == 1}
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self._gadget(vocab[a], vocab[b], vocab[a + b], rank)
-        self.starts = _Starts(self.arc_of)
+        self.ends = _Ends(self.arc_of)
+        self.sizes = [len(x) for x in self.label]
+        self.decimal, self.packed = [str(i).encode() for i in range(size)], [i.to_bytes(4, "little") for i in range(size)]
+        self._state: dict[bytes, int] = {}
 
     def _gadget(self, a: int, b: int, c: int, rank: int) -> None:
         reached = self._alive(a, b) >= 0
@@ -99,7 +110,9 @@ class MergeAutomaton:
     def _alive(self, u: int, v: int) -> int:
         """The rank at which the arc v from the state of u ended: NEVER if it holds, -1 if there was none."""
         got = self._life.get(u << SHIFT | v)
-        if got is None:
+        if got is None and (got := self._old.get(u << SHIFT | v)) is not None:
+            self._life[u << SHIFT | v] = got
+        elif got is None:
             bu, bv = self.born[u], self.born[v]
             if bu < 0 and bv < 0:
                 there = True
@@ -114,37 +127,45 @@ class MergeAutomaton:
     def arc(self, u: int, v: int) -> bool:
         return self._alive(u, v) == NEVER
 
-    def trim(self, most: int = 500_000) -> None:
+    def trim(self, most: int = CACHE_ARCS) -> None:
+        """Bounds the arcs held: those not used since the last time go."""
         if len(self._life) > most:
-            self._life.clear()
+            self._old, self._life = self._life, {}
+        if len(self._state) > most:
+            self._state.clear()
 
     def encode_word(self, word: bytes) -> list[int]:
-        n, arc_of, starts, life = len(word), self.arc_of, self.starts, self._life
+        arc_of = self.arc_of
         whole = arc_of.get(word)
         if whole is not None:  # the start state has every arc
             return [whole]
-        trail, dead = [], set()
-        pos, last, lengths, i = 0, -1, starts[word[:PREFIX]], 0
-        while True:
-            if i < len(lengths):
-                end = pos + lengths[i]
-                i += 1
-                if end > n or end in dead:
+        ends, life, state, n = self.ends, self._life, self._state, len(word)
+        if len(state) > CACHE_ARCS:
+            state.clear()
+        done = n - 1  # of a beginning whose state is held, all shorter ones are
+        while done and word[:done] not in state:
+            done -= 1
+        for end in range(done + 1, n + 1):
+            for k, v in ends[word[end - SUFFIX if end > SUFFIX else 0 : end]]:
+                at = end - k
+                if at < 0:
                     continue
-                v = arc_of.get(word[pos:end])
-                if v is None:
-                    continue
-                if last >= 0:
-                    held = life.get(last << SHIFT | v)
-                    if (self._alive(last, v) if held is None else held) != NEVER:
+                if v < 0:
+                    v = arc_of.get(word[at:end], -1)
+                    if v < 0:
+                        continue
+                if at:
+                    u = state[word[:at]]
+                    held = life.get(u << SHIFT | v)
+                    if (self._alive(u, v) if held is None else held) != NEVER:
                         continue
-                trail.append((v, pos, lengths, i, last))
-                if end == n:
-                    return [t[0] for t in trail]
-                pos, last, lengths, i = end, v, starts[word[end : end + PREFIX]], 0
-            else:  # no label goes on from here, and only one path leads here
-                dead.add(pos)
-                _, pos, lengths, i, last = trail.pop()
+                state[word[:end]] = v
+                break
+        out, sizes = [], self.sizes
+        while n:
+            out.append(state[word[:n]])
+            n -= sizes[out[-1]]
+        return out[::-1]
 
     def decode(self, ids) -> str:
         return b"".join([self.label[i] for i in ids]).decode("utf-8", "replace")
@@ -166,7 +187,7 @@ class Encoder(dict):
         if got is None:
             a = self.automaton
             ids = a.encode_word(word.encode())
-            got = (",".join(map(str, ids)).encode(), len(ids), b"".join([a.label[i] for i in ids]), np.array(ids, np.int32).tobytes())
+            got = (b",".join([a.decimal[i] for i in ids]), len(ids), b"".join([a.label[i] for i in ids]), b"".join([a.packed[i] for i in ids]))
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -183,7 +204,7 @@ class Encoder(dict):
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join([p[3] for p in self.parts(text)]), np.int32)
+        return np.frombuffer(b"".join([p[3] for p in self.parts(text)]), "<i4")
 
     def decode(self, ids) -> str:
         return self.automaton.decode(ids)
@@ -233,7 +254,7 @@ def encode_texts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
                     ids.append(b"".join([p[3] for p in got]))
                     at.append(at[-1] + n[-1])
             if with_ids:
-                tokens = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                tokens = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
             else:
                 tokens = pa.nulls(len(n), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), tokens, pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())], ["doc_id", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256"])
