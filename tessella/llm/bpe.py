@@ -37,9 +37,9 @@ from tessella.llm import storage
 # Fixed value: the pattern that splits text into words before the merges.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of a worker's cache generation; two generations are held.
-CACHE_WORDS = 160_000
+CACHE_WORDS = 120_000
 #: Worked-out arcs of a generation, of which two are held, and beginnings of words whose state is held.
-CACHE_ARCS = 200_000
+CACHE_ARCS = 150_000
 NEVER = 1 << 60
 #: Bits of a label's id.
 SHIFT = 24
@@ -134,6 +134,10 @@ class MergeAutomaton:
         if len(self._state) > most:
             self._state.clear()
 
+    def forget(self) -> None:
+        for held in (self._life, self._old, self._state, self.ends):
+            held.clear()
+
     def encode_word(self, word: bytes) -> list[int]:
         arc_of = self.arc_of
         whole = arc_of.get(word)
@@ -195,6 +199,12 @@ class Encoder(dict):
         self[word] = got
         return got
 
+    def forget(self) -> None:
+        """Let go of what was held of words: a worker that waits, or does other work, shouldn't hold it."""
+        self.clear()
+        self.old = {}
+        self.automaton.forget()
+
     def parts(self, text: str) -> list[tuple]:
         if self.cut is None or not any(s in text for s in self.marks):
             return list(map(self.__getitem__, self.words(text)))
@@ -258,6 +268,8 @@ def encode_texts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
             else:
                 tokens = pa.nulls(len(n), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), tokens, pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())], ["doc_id", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc.forget()
+        storage.trim_memory()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

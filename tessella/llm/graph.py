@@ -19,18 +19,21 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     then its smaller neighbours (small star), until nothing changes, after a number of rounds that
     grows with the logarithm of the nodes. A hub's rows are dealt out by a join whose hot partitions
     Spark splits (sums are written first, so that joins see plain inputs); its smallest neighbour is a
-    partial sum. Each round is cut in the shared folder.
+    partial sum. Each round is cut in the shared folder, and the files of the one before go.
     """
     now = storage.cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = _state(now)
     for _ in range(most_rounds):
+        old = now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = storage.cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")), "least")
         large = both.join(least, F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = storage.cut(large, "links")
+        storage.drop(old, least)
         least = storage.cut(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m"), "least")
         hung = large.join(least, F.col("u") == F.col("n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = storage.cut(hung.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct(), "links")
+        storage.drop(large, least)
         before, state = state, _state(now)
         if before == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from tessella.llm import bpe, decontam, langid, media, pii, secrets, simhash, tokencount, urlfilter, warc
 
 
@@ -51,6 +50,8 @@ def op10_decontamination(spark, sf_dir):
 
 
 def pipeline(spark, sf_dir):
+    import corpus_pipeline  # stands at the repository's top, and reads this package itself
+
     return corpus_pipeline.run(spark, sf_dir)
 
 

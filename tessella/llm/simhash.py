@@ -195,8 +195,11 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     dealt = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = storage.cut(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
     met = storage.cut(dealt.where(storage.Told(shared, "bucket").of(F.col("bucket"))), "met")
+    storage.drop(shared)
     ends = storage.cut(met.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1"), "ends")
-    return storage.cut(met.join(ends, "bucket").select("bucket", "node", "n", "a", "b"), "buckets")
+    out = storage.cut(met.join(ends, "bucket").select("bucket", "node", "n", "a", "b"), "buckets")
+    storage.drop(met, ends)
+    return out
 
 
 def first_pairs(met: DataFrame, small: int = SMALL) -> DataFrame:
@@ -311,6 +314,7 @@ def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_c
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id"))
     nodes = marked.groupBy("key").agg(first.alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = storage.cut(nodes.select("key", "first", "copies", "bands", "sketch", F.xxhash64("key").alias("node")), "nodes")
+    storage.drop(marked)
 
     def texts_of(few: DataFrame) -> DataFrame:
         """(node, text) of few (node): one row a text moves."""
@@ -325,7 +329,9 @@ def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_c
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.binary()), pa.array([t for _, t in got], pa.binary())], ["k", "text"])
 
         picked = docs.select(text_col).mapInArrow(pick, "k binary, text binary")
-        return storage.cut(picked.dropDuplicates(["k"]).join(asked, F.col("k") == F.col("key")).select("node", "text"), "texts")
+        out = storage.cut(picked.dropDuplicates(["k"]).join(asked, F.col("k") == F.col("key")).select("node", "text"), "texts")
+        storage.drop(asked)
+        return out
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = storage.cut(pairs, "candidates")
@@ -337,7 +343,9 @@ def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_c
                 yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
         both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-        return storage.cut(both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), "verified")
+        out = storage.cut(both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), "verified")
+        storage.drop(pairs, texts)
+        return out
 
     def hashed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,15 +357,20 @@ def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_c
     groups = graph.connected_components(links)
     parted = apart(met, groups, small)
     if not parted.isEmpty():
-        sets = texts_of(parted.select("node")).mapInArrow(hashed_sets, "k long, hashes array<long>")
+        texts = texts_of(parted.select("node"))
+        sets = texts.mapInArrow(hashed_sets, "k long, hashes array<long>")
         known = storage.cut(nodes.join(sets, F.col("node") == F.col("k")).select("node", "sketch", "bands", "hashes"), "sets")
+        storage.drop(texts)
         more = storage.cut(unlinked_pairs(met, known, groups, small, least=least, parted=parted), "more")
+        storage.drop(known)
         if not more.isEmpty():
             groups = graph.connected_components(more.unionByName(groups.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    storage.drop(met, parted)
     # Nodes are named by their texts; of a group, that of the smallest id stays (of one id's texts, the smallest key).
     named = storage.cut(groups.join(nodes, "node").select("node", "root", F.struct("first", "key").alias("rank")), "named")
     stays = storage.cut(named.groupBy("root").agg(F.min("rank").alias("best")), "stays")
     gone = storage.cut(named.join(stays, "root").where("rank <> best").select("node"), "gone")
+    storage.drop(named, stays)
     # Rows whose text no other row repeats or outranks stay where they are; a filter tells most of them.
     moot = storage.cut(nodes.where("copies > 1").select("node").unionByName(gone), "moot")
     told = storage.Told(moot, "node")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -16,14 +18,21 @@ from tessella.functions.shipping import ship
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
+_own_root: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where none is set (local runs)."""
+    """spark.checkpoint.dir of the session. Where none is set, a folder of our own in a local run, which is one machine;
+    an error on a cluster, whose executors wouldn't see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own_root:
+        _own_root[app] = "file://" + tempfile.mkdtemp(prefix="tessella-")
+    return _own_root[app]
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -35,7 +44,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     cost only the task that ran, and no kernel above runs twice."""
     path = work_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._work_folder = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the files of frames that `cut` gave, once nothing that is still to run reads them."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._work_folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def trim_memory() -> None:
+    """Give a worker's freed memory back to the system, where its library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another system's library
+        pass
 
 
 def small_batches(spark: SparkSession) -> None:
