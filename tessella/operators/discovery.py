@@ -6,9 +6,12 @@ All of this runs on the driver: a generation is a handful of expressions.
 
 from __future__ import annotations
 
+import fcntl
 import json
 import math
+import os
 import re
+import threading
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field
@@ -182,6 +185,8 @@ class Batch:
     proposals: list[Proposal]
     considered: list[Proposal] = field(default_factory=list)
     notes: list[dict] = field(default_factory=list)
+    calls: list[dict] = field(default_factory=list)
+    moderator: dict | None = None
     tokens_in: int = 0
     tokens_out: int = 0
 
@@ -199,7 +204,8 @@ class QueueProposer:
     def propose(self, task: Task, archive: Archive, generation: int, n: int) -> Batch:
         text = self.texts[generation] if generation < len(self.texts) else ""
         found = parse_proposals(text, task)
-        return Batch(found[:n], found, tokens_in=0, tokens_out=len(text.split()))
+        call = {"role": "proposer", "round": 1, "prompt": task.task_id, "cache": False, "input_tokens": 0, "cached_input_tokens": 0, "response": text, "thinking": None, "output_tokens": len(text.split())}
+        return Batch(found[:n], found, calls=[call], tokens_in=0, tokens_out=len(text.split()))
 
 
 _BLOCK, _FIELD = re.compile(r"(?im)^-{2,}\s*SIGNAL\b.*$"), re.compile(r"(?im)^\s*([A-Z_ ]+?)\s*:\s*(.*)$")
@@ -248,19 +254,28 @@ def signal_id(source: str, name: str, expression: str) -> str:
 
 
 class Recorder:
-    """Writes a run's folder: one for each generation, the archive, diagnostics and progress as JSON lines, a status."""
+    """Writes a run's folder: eight files for each generation, the archive, diagnostics and progress as JSON lines, a
+    status. Appends of several threads or processes don't mix: the file is locked; a status is replaced as a whole."""
+
+    #: What is kept of a recorded call, in the files of prompts and of answers.
+    PROMPT, ANSWER = ("role", "round", "prompt", "cache", "input_tokens", "cached_input_tokens"), ("role", "round", "response", "thinking", "output_tokens")
 
     def __init__(self, folder: str | Path, pair: str = ""):
-        self.folder, self.pair, self.started = Path(folder), pair, time.monotonic()
+        self.folder, self.pair, self.started, self.lock = Path(folder), pair, time.monotonic(), threading.Lock()
         self.folder.mkdir(parents=True, exist_ok=True)
 
     def _write(self, name: str, value) -> None:
         path = self.folder / name
         path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(strict_json(value, indent=2))
+        part = path.with_name(f".{path.name}.{os.getpid()}.{threading.get_ident()}")
+        part.write_text(strict_json(value, indent=2))
+        part.replace(path)
 
     def _append(self, name: str, rows: list[dict]) -> None:
-        with (self.folder / name).open("a") as f:
+        path = self.folder / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        with self.lock, path.open("a") as f:
+            fcntl.flock(f, fcntl.LOCK_EX)
             f.writelines(strict_json(r, sort_keys=True) + "\n" for r in rows)
 
     def generation(self, n: int, batch: Batch, results: list[Evaluated], told: list[Diagnostic]) -> None:
@@ -270,6 +285,9 @@ class Recorder:
         self._write(f"{at}/considered_proposals.json", [asdict(p) for p in batch.considered])
         self._write(f"{at}/evaluation_results.json", [asdict(r) for r in results])
         self._write(f"{at}/critic_notes.json", batch.notes)
+        self._write(f"{at}/moderator_note.json", batch.moderator)
+        for name, kept in (("rendered_prompts", self.PROMPT), ("raw_responses", self.ANSWER)):
+            self._append(f"{at}/{name}.jsonl", [{k: c.get(k) for k in kept} for c in batch.calls])
         self._append("validation_diagnostics.jsonl", [{**asdict(d), "generation": n} for d in told])
 
     def archive(self, archive: Archive) -> None:

@@ -187,3 +187,41 @@ def uniqueness(evaluated: DataFrame, key: str = "run", expression: str = "expres
     form = F.regexp_replace(F.lower(F.col(expression)), r"\s+", "")
     counts = evaluated.where(F.trim(F.col(expression)) != "").groupBy(key).agg(F.count("*").alias("n"), F.countDistinct(form).alias("n_unique"))
     return counts.select(key, "n", "n_unique", (F.col("n") - F.col("n_unique")).alias("n_duplicate"), (F.col("n_unique") / F.col("n")).alias("rate"))
+
+
+def across_runs(rates: DataFrame, value: str, key: str = "pair") -> DataFrame:
+    """(key, median, least, greatest) of a value that each run has for each key."""
+    return rates.groupBy(key).agg(F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+
+
+def report(df: DataFrame, by: list[Column], most: int) -> DataFrame:
+    """The first `most` rows by an order: a report of bounded length."""
+    return df.orderBy(*by).limit(most)
+
+
+def capped(signals: DataFrame, most: int | None, key: str = "signal_id") -> DataFrame:
+    """The first `most` signals by key, or all: a cap that a caller asks for."""
+    return signals if most is None else signals.orderBy(key).limit(most)
+
+
+def benchmark_metrics(evaluated: DataFrame, usage: DataFrame | None = None, key: str = "run", expression: str = "expression") -> DataFrame:
+    """(key, n_evaluated, n_successes, success_rate, n_unique, n_duplicate, uniqueness, ...usage): a row a run. Expressions
+    count as one if they differ by case and blanks only; blank ones don't count. usage (key, ...) adds tokens and times."""
+    form = F.when(F.trim(expression) != "", F.regexp_replace(F.lower(F.col(expression)), r"\s+", ""))
+    rate = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
+    df = evaluated.groupBy(key).agg(F.count("*").alias("n_evaluated"), F.count_if(outcome() == "correct").alias("n_successes"), F.count(form).alias("__n"), F.countDistinct(form).alias("n_unique"))
+    df = df.select(key, "n_evaluated", "n_successes", rate(F.col("n_successes"), F.col("n_evaluated")).alias("success_rate"), "n_unique", (F.col("__n") - F.col("n_unique")).alias("n_duplicate"), rate(F.col("n_unique"), F.col("__n")).alias("uniqueness"))
+    return df if usage is None else df.join(usage, key, "left")
+
+
+def converged(dynamics: DataFrame, key: str = "run") -> DataFrame:
+    """(key, converged, reason) from generations' (key, generation, rate, best): what assay.converged says of each search.
+    A search is a list of some tens of generations."""
+    seq = dynamics.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("generation", "rate", "best"))).alias("g"))
+    last, before, first = F.element_at("g", -1), F.try_element_at("g", F.lit(-2)), F.element_at("g", 1)
+    why = (
+        F.when(F.size("g") < 2, "too_few_generations").when(last["rate"] < 0.20, "hit_rate_collapse")
+        .when((first["best"] > 0) & (last["best"] < 0.5 * first["best"]), "diminishing_returns")
+        .when((last["best"] < before["best"]) & (last["rate"] < before["rate"]), "no_improvement").otherwise("productive")
+    )
+    return seq.select(key, why.alias("reason")).select(key, (~F.col("reason").isin("too_few_generations", "productive")).alias("converged"), "reason")

@@ -2,29 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.sources import store
+
 KEYS = ("permno", "yyyymm", "date")
 
 
-def unzipped_csv(archive: str, folder: str | None = None) -> str:
-    """Path of the first CSV in an archive, unpacked to folder (shared storage, on a cluster)."""
-    with zipfile.ZipFile(archive) as z:
-        name = next((n for n in z.namelist() if n.lower().endswith(".csv")), None)
-        if name is None:
-            raise ValueError(f"no CSV in {archive}")
-        return z.extract(name, folder or tempfile.mkdtemp())
+def unzipped_csv(spark: SparkSession, archive: str, folder: str | None = None) -> str:
+    """Path of the first CSV in an archive, unpacked to folder, which all executors see. Both lie in any file system
+    that Spark reads; bytes are streamed."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = folder or store.scratch(spark, "unzipped")
+    path = jvm.org.apache.hadoop.fs.Path(archive)
+    stream = jvm.java.util.zip.ZipInputStream(path.getFileSystem(conf).open(path))
+    try:
+        while (entry := stream.getNextEntry()) is not None:
+            if entry.getName().lower().endswith(".csv"):
+                target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{entry.getName().rpartition('/')[2]}")
+                out = target.getFileSystem(conf).create(target, True)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
+                out.close()
+                return target.toString()
+    finally:
+        stream.close()
+    raise ValueError(f"no CSV in {archive}")
 
 
 def read_wide(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
     """A wide table from CSV or zipped CSV; blanks around column names go, all signals are doubles."""
-    path = unzipped_csv(path, folder) if path.lower().endswith(".zip") else path
-    df = spark.read.option("header", True).csv(str(Path(path)) if "://" not in path else path)
+    path = unzipped_csv(spark, path, folder) if path.lower().endswith(".zip") else path
+    df = spark.read.option("header", True).csv(path)
     df = df.toDF(*[c.strip() for c in df.columns])
     return df.select(*[F.col(f"`{c}`").cast("long" if c == "permno" else "int" if c == "yyyymm" else "double").alias(c) for c in df.columns])
 

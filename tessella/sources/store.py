@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 FOLDER = "spark.tessella.panels"
 
 
+_own: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that the driver and all executors see: under spark.checkpoint.dir, else (in a local run only) a
+    temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        root = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="tessella-")
+        _own[app] = root
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def set_folder(spark: SparkSession, path: str) -> None:
     spark.conf.set(FOLDER, path.rstrip("/"))
 
@@ -41,3 +59,22 @@ def load_or_build(spark: SparkSession, name: str, build: Callable[..., DataFrame
 def query(spark: SparkSession, sql: str, url: str, **options: str) -> DataFrame:
     """A JDBC scan; credentials come as options (user, password) and are not kept."""
     return spark.read.format("jdbc").options(url=url, query=sql, **options).load()
+
+
+class Connection:
+    """A source behind a URL, opened with credentials of the caller's and closed by leaving its block: scans after that
+    are refused. Executors open and close their own connections for each scan."""
+
+    def __init__(self, spark: SparkSession, url: str, **options: str):
+        self.spark, self.url, self.options = spark, url, options
+
+    def __enter__(self) -> Connection:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.options = None
+
+    def query(self, sql: str) -> DataFrame:
+        if self.options is None:
+            raise ValueError("the connection is closed")
+        return query(self.spark, sql, self.url, **self.options)

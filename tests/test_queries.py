@@ -10,9 +10,9 @@ duckdb = pytest.importorskip("duckdb")
 if not os.path.isdir(SF):
     pytest.skip("no test tables here", allow_module_level=True)
 
-from tessella import queries_assay, queries_dsl, queries_panel  # noqa: E402
+from tessella import queries_assay, queries_dsl, queries_panel, queries_sources  # noqa: E402
 
-PARTS = (queries_dsl, queries_panel, queries_assay)
+PARTS = (queries_dsl, queries_panel, queries_assay, queries_sources)
 QUERIES = {n: f for p in PARTS for n, f in p.queries().items()}
 ORACLES = {n: s for p in PARTS for n, s in p.oracle_sql().items()}
 #: Operators alike in form are tried in full on larger tables by hand; here a few of each kind.

@@ -103,7 +103,7 @@ def test_null_results_are_invalid(spark):
 def test_predictors(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
         z.writestr("p.csv", "permno, yyyymm ,Acc,BM\n1,196307,,2.0\n1,196307,3.0,9.0\n2,196308,1.0,\n")
-    wide = predictors.read_wide(spark, str(tmp_path / "p.zip"), str(tmp_path))
+    wide = predictors.read_wide(spark, str(tmp_path / "p.zip"), f"file://{tmp_path}/unzipped")
     assert predictors.signal_names(wide) == ["Acc", "BM"]
     got = {(r.name, r.month_idx, r.permno): r.value for r in predictors.to_panels(wide.coalesce(1)).collect()}
     assert got == {("Acc", 1963 * 12 + 7, 1): 3.0, ("BM", 1963 * 12 + 7, 1): 2.0, ("Acc", 1963 * 12 + 8, 2): 1.0}
