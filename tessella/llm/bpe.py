@@ -7,13 +7,12 @@ the label that led to it, so the automaton is deterministic, and a label sequenc
 if it is the BPE encoding of its text. Rows of arcs are shared between states: a gadget stores when a
 row was forked and when an arc ended, and a row's entry is worked out on its first use and kept.
 
-A word is encoded by transitions alone, byte by byte and without turning back: after each byte the state
-is the label that ends the encoding of the bytes so far, which is the one label ending there with an arc
-from the state held where it begins (there is exactly one, since every prefix has one encoding; longer
-labels are tried first). The labels that may end at a byte come from a table over the last bytes. The
-states of recent beginnings of words are held, so that a word goes on from the longest of them. The
-states passed, from the last one back, are the arcs; they give the ids, and decoding emits the labels of
-the arcs. Text is split into words by the byte-level pattern first, special tokens before that. Whole
+A word is encoded by transitions alone, with nothing to turn back from: the state after some bytes is the
+label that ends their encoding, which is the one label ending there with an arc from the state where it
+begins (there is exactly one, since every beginning has one encoding; longer labels are tried first, and
+states are worked out when they are asked for, once). The labels that may end at a byte come from a table
+over the last bytes; states of recent beginnings of words are held. The states passed, from the last one
+back, are the arcs; they give the ids, and decoding emits the labels of the arcs. Text is split into words by the byte-level pattern first, special tokens before that. Whole
 texts are encoded, null ones as empty; an empty table gives an empty one; repeated rows give repeated
 results; other columns are ignored.
 
@@ -37,14 +36,14 @@ from tessella.llm import storage
 # Fixed value: the pattern that splits text into words before the merges.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of a worker's cache generation; two generations are held.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 100_000
 #: Worked-out arcs of a generation, of which two are held, and beginnings of words whose state is held.
-CACHE_ARCS = 150_000
+CACHE_ARCS = 100_000
 NEVER = 1 << 60
 #: Bits of a label's id.
 SHIFT = 24
-#: Bytes by which the labels that may end are looked up.
-SUFFIX = 4
+#: Bytes by which the labels that may end are looked up; bytes of a word whose states are asked for in one go.
+SUFFIX, DEPTH = 4, 256
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -135,42 +134,51 @@ class MergeAutomaton:
             self._state.clear()
 
     def forget(self) -> None:
-        for held in (self._life, self._old, self._state, self.ends):
-            held.clear()
+        self._state.clear()
 
     def encode_word(self, word: bytes) -> list[int]:
         arc_of = self.arc_of
         whole = arc_of.get(word)
         if whole is not None:  # the start state has every arc
             return [whole]
-        ends, life, state, n = self.ends, self._life, self._state, len(word)
+        state, sizes, n, out = self._state, self.sizes, len(word), []
         if len(state) > CACHE_ARCS:
             state.clear()
-        done = n - 1  # of a beginning whose state is held, all shorter ones are
-        while done and word[:done] not in state:
-            done -= 1
-        for end in range(done + 1, n + 1):
-            for k, v in ends[word[end - SUFFIX if end > SUFFIX else 0 : end]]:
-                at = end - k
-                if at < 0:
-                    continue
-                if v < 0:
-                    v = arc_of.get(word[at:end], -1)
-                    if v < 0:
-                        continue
-                if at:
-                    u = state[word[:at]]
-                    held = life.get(u << SHIFT | v)
-                    if (self._alive(u, v) if held is None else held) != NEVER:
-                        continue
-                state[word[:end]] = v
-                break
-        out, sizes = [], self.sizes
+        for end in range(DEPTH, n, DEPTH):  # a long word's states are asked for from its start on
+            self._ending(word[:end])
+        out.append(self._ending(word))
+        del state[word]  # whole words are held elsewhere
+        n -= sizes[out[0]]
         while n:
-            out.append(state[word[:n]])
+            head = word[:n]
+            v = state.get(head)
+            out.append(self._ending(head) if v is None else v)
             n -= sizes[out[-1]]
         return out[::-1]
 
+    def _ending(self, head: bytes) -> int:
+        """The label that ends the encoding of a word's beginning: its state."""
+        state, life = self._state, self._life
+        for k, v in self.ends[head[-SUFFIX:]]:
+            at = len(head) - k
+            if at < 0:
+                continue
+            if v < 0:
+                v = self.arc_of.get(head[at:], -1)
+                if v < 0:
+                    continue
+            if at:
+                rest = head[:at]
+                u = state.get(rest)
+                if u is None:
+                    u = self._ending(rest)
+                held = life.get(u << SHIFT | v)
+                if (self._alive(u, v) if held is None else held) != NEVER:
+                    continue
+            state[head] = v
+            return v
+        raise AssertionError("every byte has an arc")
+
     def decode(self, ids) -> str:
         return b"".join([self.label[i] for i in ids]).decode("utf-8", "replace")
 
@@ -200,7 +208,7 @@ class Encoder(dict):
         return got
 
     def forget(self) -> None:
-        """Let go of what was held of words: a worker that waits, or does other work, shouldn't hold it."""
+        """Let go of what was held of words: a worker that waits, or does other work, shouldn't hold it. Arcs stay."""
         self.clear()
         self.old = {}
         self.automaton.forget()
