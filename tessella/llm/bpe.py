@@ -10,7 +10,7 @@ row was forked and when an arc ended, and a row's entry is worked out on its fir
 A word is encoded by transitions alone, with nothing to turn back from: the state after some bytes is the
 label that ends their encoding, which is the one label ending there with an arc from the state where it
 begins (there is exactly one, since every beginning has one encoding; longer labels are tried first, and
-states are worked out when they are asked for, once). The labels that may end at a byte come from a table
+states are worked out when they are asked for, once; of a long word all, from its start on). The labels that may end at a byte come from a table
 over the last bytes; states of recent beginnings of words are held. The states passed, from the last one
 back, are the arcs; they give the ids, and decoding emits the labels of the arcs. Text is split into words by the byte-level pattern first, special tokens before that. Whole
 texts are encoded, null ones as empty; an empty table gives an empty one; repeated rows give repeated
@@ -42,8 +42,8 @@ CACHE_ARCS = 100_000
 NEVER = 1 << 60
 #: Bits of a label's id.
 SHIFT = 24
-#: Bytes by which the labels that may end are looked up; bytes of a word whose states are asked for in one go.
-SUFFIX, DEPTH = 4, 256
+#: Bytes by which the labels that may end are looked up; bytes beyond which a word's states are held by position.
+SUFFIX, DEPTH = 4, 200
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -141,12 +141,12 @@ class MergeAutomaton:
         whole = arc_of.get(word)
         if whole is not None:  # the start state has every arc
             return [whole]
-        state, sizes, n, out = self._state, self.sizes, len(word), []
+        if len(word) > DEPTH:
+            return self._encode_long(word)
+        state, sizes, n = self._state, self.sizes, len(word)
         if len(state) > CACHE_ARCS:
             state.clear()
-        for end in range(DEPTH, n, DEPTH):  # a long word's states are asked for from its start on
-            self._ending(word[:end])
-        out.append(self._ending(word))
+        out = [self._ending(word)]
         del state[word]  # whole words are held elsewhere
         n -= sizes[out[0]]
         while n:
@@ -156,6 +156,22 @@ class MergeAutomaton:
             n -= sizes[out[-1]]
         return out[::-1]
 
+    def _encode_long(self, word: bytes) -> list[int]:
+        """Every byte's state from the first on, held by position."""
+        states, out, n = [-1], [], len(word)
+        for end in range(1, n + 1):
+            for k, v in self.ends[word[max(0, end - SUFFIX) : end]]:
+                at = end - k
+                if at >= 0 and v < 0:
+                    v = self.arc_of.get(word[at:end], -1)
+                if at >= 0 and v >= 0 and (at == 0 or self.arc(states[at], v)):
+                    states.append(v)
+                    break
+        while n:
+            out.append(states[n])
+            n -= self.sizes[out[-1]]
+        return out[::-1]
+
     def _ending(self, head: bytes) -> int:
         """The label that ends the encoding of a word's beginning: its state."""
         state, life = self._state, self._life
