@@ -298,8 +298,8 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", min_item: int = MIN_ITEM) -> DataFrame:
     """The documents, with all their columns, that no item contaminates. Rows that a filter tells are clean stay where they are."""
-    gone = storage.cut(contaminated(docs, items, text_col, min_item).select(F.lower(F.hex("key")).alias("k")).distinct(), "gone")
-    told = storage.Told(gone.select(F.xxhash64("k").alias("h")), "h").of(F.xxhash64("__key"))
+    gone = storage.cut(contaminated(docs, items, text_col, min_item).select(F.lower(F.hex("key")).alias("__gone")).distinct(), "gone")
+    told = storage.Told(gone.select(F.xxhash64("__gone").alias("h")), "h").of(F.xxhash64("__key"))
     rows = _keyed(docs, text_col)
-    left = rows.where(told).join(gone.hint("shuffle_hash"), F.col("__key") == F.col("k"), "left_anti")
+    left = rows.where(told).join(gone.hint("shuffle_hash"), F.col("__key") == F.col("__gone"), "left_anti")
     return rows.where(~told).unionByName(left).select(*docs.columns)

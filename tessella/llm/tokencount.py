@@ -34,6 +34,9 @@ LOOKAHEAD = 2
 #: Pre-tokens of a leaf when a tree is built; a leaf that has grown past LEAF * SPLIT has the tree built again.
 LEAF, SPLIT = 64, 8
 
+#: Pre-tokens of a generation of counts; two are held.
+CACHE_COUNTS = 200_000
+
 TREE = "struct<leaf_sizes:array<int>,lengths:array<int>,counts:array<int>,node_chars:array<int>,node_tokens:array<int>>"
 EDITS = "array<struct<start:int,end:int,insert:string>>"
 
@@ -178,7 +181,7 @@ class _Counts(dict):
 
     def __init__(self, encoder: bpe.Encoder):
         super().__init__()
-        self.automaton, self.most, self.old = encoder.automaton, bpe.CACHE_WORDS, {}
+        self.automaton, self.most, self.old = encoder.automaton, CACHE_COUNTS, {}
 
     def __missing__(self, word: str) -> int:
         n = self.old.get(word)

@@ -29,7 +29,7 @@ def docs(spark, rows):
     df = spark.createDataFrame([(i, t, l, "src", len(t or "")) for i, t, l in rows], "doc_id long, text string, lang string, source string, n_chars long")
     from pyspark.sql import functions as F
 
-    clash = {c: F.lit("x") for c in ("file", "fp", "blob", "findings", "component_id", "score", "key", "node", "kind", "path", "digest", "row", "names", "token_ids", "edits", "tree", "held_out", "found", "spans")}
+    clash = {c: F.lit("x") for c in ("file", "fp", "blob", "findings", "component_id", "score", "key", "node", "kind", "path", "digest", "row", "names", "token_ids", "edits", "tree", "held_out", "found", "spans", "k", "h", "g", "n", "no", "seed", "item", "copies", "blobs", "seen", "words", "l", "r", "root", "first", "item_id")}
     return df.withColumns(clash).repartition(3)
 
 
