@@ -190,10 +190,17 @@ class Compiler:
         return ra + rb - 1, up
 
     def staged(self, df: DataFrame) -> DataFrame:
-        """df with every column that the compiled nodes read."""
+        """df with every column that the compiled nodes read. Sums of the first level are grouped and joined back; those
+        of later ones are windows, since a join would plan all that lies below once more for each level."""
         for level in range(1, max([0, *self.windows, *self.sums]) + 1):
             before = df
             for keys, values in self.sums[level].items():
+                if level > 1:
+                    w, known = Window.partitionBy(*keys), F.lit(True)
+                    for k in keys:
+                        known = known & F.col(k).isNotNull()
+                    df = df.withColumns({n: F.when(known, v.over(w)) for n, v in values.items()})
+                    continue
                 stats = before.groupBy(*keys).agg(*[v.alias(n) for n, v in values.items()])
                 df = df.join(stats, [*keys], "left")
             if self.windows[level]:

@@ -93,3 +93,13 @@ def test_shared_parts_are_compiled_once(spark):
     plan = evaluate(df, {"a": "LAG(ib)", "b": "MA(ib)", "c": "TREND(ib)", "d": "TS_SUM(ib)"})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 1
     assert available_variables(df) == ["at", "ib"]
+
+
+def test_nesting_does_not_multiply_scans(spark):
+    """Each level of cross-sections is one more window, not one more reading of all below."""
+    df = spark.createDataFrame([(1, 2000, 2001, "10", 1.0, 2.0)], "permno long, year int, form_year int, sic2 string, a double, b double")
+    text = "RATIO(a, b)"
+    for depth in range(4):
+        plan = evaluate(df, {"x": text}, winsorize_pct=1.0)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 2, (depth, plan)
+        text = f"ZSCORE(WINSOR({text}, 5))"
