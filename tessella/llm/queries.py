@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, decontam, langid, media, pii, secrets, simhash, simhash_sql, span_sql, tokencount, urlfilter, warc
+from tessella.llm import bpe, decontam, langid, media, overlap_sql, pii, secrets, simhash, simhash_sql, span_sql, tokencount, urlfilter, warc
 
 
 def _table(spark, sf_dir, name):
@@ -89,4 +89,4 @@ LEFT JOIN rules ON (u.host = rules.h OR ends_with(u.host, '.' || rules.h)) AND s
 
 
 def oracle_sql():
-    return {"op4_pii": span_sql.pii_sql(), "op5_warc": OP5_SQL, "op6_simhash": simhash_sql.simhash_sql(), "op7_url_filter": _op7_sql(), "op8_secrets": span_sql.secrets_sql()}
+    return {"op4_pii": span_sql.pii_sql(), "op5_warc": OP5_SQL, "op6_simhash": simhash_sql.simhash_sql(), "op7_url_filter": _op7_sql(), "op8_secrets": span_sql.secrets_sql(), "op10_decontamination": overlap_sql.overlap_sql()}
