@@ -507,6 +507,20 @@ def test_masks_of_radius_six_read_half_the_bits():
         assert any(not m & apart for m in masks)
 
 
+def test_components(spark):
+    import random
+
+    from tessella.llm import graph
+
+    r = random.Random(12)
+    links = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 540)] + [(i, 600) for i in range(570, 600)] + [(r.randrange(1000, 1200), r.randrange(1000, 1200)) for _ in range(120)] + [(-5, 3), (3, 3), (7, 8), (8, 7)]
+    want = classes({x for p in links for x in p}, links)
+    got = {x.node: x.root for x in graph.connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    alone = {n for n in want if all(n not in p or p[0] == p[1] for p in links)}
+    assert got == {n: x for n, x in want.items() if n not in alone}
+    assert graph.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_repeated_and_null_ids_lose_no_text(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [(1, base), (5, base + " more"), (5, "another clean text that shares an id with a copy"), (None, base + " end"), (None, "z " * 9 + "clean")]
