@@ -279,6 +279,22 @@ def unlinked_pairs(met: DataFrame, nodes: DataFrame, groups: DataFrame, small: i
     return left.unionByName(right).groupBy("bucket", "i", "j").applyInArrow(compare, "u long, v long").distinct()
 
 
+def fingerprint_buckets(nodes: DataFrame, radius: int = 2) -> DataFrame:
+    """(node, bucket) of nodes (node, fp): a bucket holds the texts of one component of the fingerprints' links, as
+    `near_duplicates` finds them, so that any two texts within the radius are in one."""
+    of_text = nodes.select("node", "fp")
+    label = storage.cut(graph.connected_components(links_within(storage.cut(of_text.select("fp").distinct(), "distinct"), radius)), "labels")
+    bucket = F.xxhash64(F.lit("fingerprints"), F.coalesce("root", "fp")).alias("bucket")  # told apart from those of minima
+    return storage.cut(of_text.join(label.select(F.col("node").alias("f"), "root"), F.col("fp") == F.col("f"), "left").select("node", bucket), "components")
+
+
+def pairs_between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (u, v) that groups (node, root) leave apart."""
+    of = lambda n: groups.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
+    rooted = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    return rooted.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+
+
 def like_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sketches are alike."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,11 +309,13 @@ def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_c
     """docs with one document of each group of near copies: that of the smallest id.
 
     Two texts are near copies if their sets of `words`-word shingles have a similarity of `least` or
-    more. Candidates are texts that share one of BANDS buckets, each of ROWS minima of the shingles'
-    hashes: of a pair of similarity s, each bucket is shared with a chance of s^ROWS, so a pair at 0.8 is
-    missed with a chance of 0.0001, and one at 0.85 of 0.0000001. Each is verified on the whole texts.
-    Groups are the components of the verified pairs and of equal texts. A null id is the largest;
-    rows that repeat an id and a text count once.
+    more. First the texts of each component of SimHash fingerprints meet, as `near_duplicates` finds them, so
+    every pair within its radius meets (among more than `small` texts by sketches first). Then come near copies
+    whose fingerprints lie farther apart (64 bits can't hold the bound): texts that these groups leave apart and
+    that share one of BANDS buckets, each of ROWS minima of the shingles' hashes: of a pair of similarity s, each
+    bucket is shared with a chance of s^ROWS, so a pair at 0.8 is missed with a chance of 0.0001, and one at 0.85
+    of 0.0000001. Each candidate is verified on the whole texts. Groups are the components of the verified pairs
+    and of equal texts. A null id is the largest; rows that repeat an id and a text count once.
     """
     spark = docs.sparkSession
     storage.small_batches(spark)
@@ -307,13 +325,14 @@ def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_c
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             minima = [minhashes(shingles(t, words)) for t in texts]
-            cols = [pa.array([hashlib.sha256(t).digest()[:16] for t in texts], pa.binary()), pa.array([bands(m) for m in minima], pa.list_(pa.int64())), pa.array([sketch(m) for m in minima], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "key", "bands", "sketch"])
+            fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            cols = [pa.array([hashlib.sha256(t).digest()[:16] for t in texts], pa.binary()), pa.array(fps), pa.array([bands(m) for m in minima], pa.list_(pa.int64())), pa.array([sketch(m) for m in minima], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "key", "fp", "bands", "sketch"])
 
-    marked = storage.cut(docs.select(id_col, text_col).mapInArrow(mark, f"doc_id {id_type}, key binary, bands array<long>, sketch binary"), "marked")
+    marked = storage.cut(docs.select(id_col, text_col).mapInArrow(mark, f"doc_id {id_type}, key binary, fp long, bands array<long>, sketch binary"), "marked")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id"))
-    nodes = marked.groupBy("key").agg(first.alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = storage.cut(nodes.select("key", "first", "copies", "bands", "sketch", F.xxhash64("key").alias("node")), "nodes")
+    nodes = marked.groupBy("key").agg(first.alias("first"), F.count("*").alias("copies"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = storage.cut(nodes.select("key", "first", "copies", "fp", "bands", "sketch", F.xxhash64("key").alias("node")), "nodes")
     storage.drop(marked)
 
     def texts_of(few: DataFrame) -> DataFrame:
@@ -352,20 +371,27 @@ def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_c
             sets = [np.sort(np.fromiter((x := shingles(t, words)), np.uint64, len(x))).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["k", "hashes"])
 
-    met = shared_buckets(nodes)
-    links = verified(like_pairs(first_pairs(met, small), nodes))
-    groups = graph.connected_components(links)
+    def joined(more: DataFrame) -> DataFrame:
+        return graph.connected_components(more.unionByName(groups.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+
+    of_fp = fingerprint_buckets(nodes)
+    close = shared_buckets(of_fp.select("node", F.array("bucket").alias("bands")))
+    groups = graph.connected_components(verified(first_pairs(close, small)))
+    far = shared_buckets(nodes)
+    groups = joined(verified(like_pairs(pairs_between(first_pairs(far, small), groups), nodes)))
+    met = close.unionByName(far)
     parted = apart(met, groups, small)
     if not parted.isEmpty():
         texts = texts_of(parted.select("node"))
         sets = texts.mapInArrow(hashed_sets, "k long, hashes array<long>")
-        known = storage.cut(nodes.join(sets, F.col("node") == F.col("k")).select("node", "sketch", "bands", "hashes"), "sets")
+        every = F.concat(F.array("bucket"), "bands").alias("bands")
+        known = storage.cut(nodes.join(sets, F.col("node") == F.col("k")).join(of_fp, "node").select("node", "sketch", every, "hashes"), "sets")
         storage.drop(texts)
         more = storage.cut(unlinked_pairs(met, known, groups, small, least=least, parted=parted), "more")
         storage.drop(known)
         if not more.isEmpty():
-            groups = graph.connected_components(more.unionByName(groups.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-    storage.drop(met, parted)
+            groups = joined(more)
+    storage.drop(close, far, of_fp, parted)
     # Nodes are named by their texts; of a group, that of the smallest id stays (of one id's texts, the smallest key).
     named = storage.cut(groups.join(nodes, "node").select("node", "root", F.struct("first", "key").alias("rank")), "named")
     stays = storage.cut(named.groupBy("root").agg(F.min("rank").alias("best")), "stays")

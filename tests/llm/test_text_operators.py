@@ -481,6 +481,41 @@ def test_near_copies_between_boilerplate(spark):
     assert {x.doc_id for x in simhash.distinct_documents(docs, small=4).collect()} == set(root.values())
 
 
+def test_near_copies_that_only_fingerprints_tell(spark):
+    """At a similarity of 0.8 these share no bucket of minima, but a fingerprint."""
+    docs = []
+    for k in (1131, 9178, 9798):
+        a = "a " * 200 + " ".join(f"w{k}n{i}" for i in range(8))
+        sets = [simhash.shingles(t.encode(), 5) for t in (a, a + "x")]
+        assert simhash.similarity(*sets) == 0.8 and not {*simhash.bands(simhash.minhashes(sets[0]))} & {*simhash.bands(simhash.minhashes(sets[1]))}
+        assert plain_fingerprint(a) == plain_fingerprint(a + "x")
+        docs += [(2 * k, a), (2 * k + 1, a + "x")]
+    got = simhash.distinct_documents(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(x.doc_id for x in got.collect()) == [2 * k for k in (1131, 9178, 9798)]
+
+
+@pytest.mark.parametrize("small", [4, 32])
+def test_texts_of_a_fingerprint_component_meet(spark, monkeypatch, small):
+    """Without any bucket of minima, the copies among the texts of one component go, and no other text."""
+    import random
+
+    r, texts = random.Random(8), []
+    for _ in range(30):  # fingerprints alike, texts not
+        a = ["a"] * 200 + [f"w{r.randrange(10**6)}" for _ in range(20)]
+        texts += [" ".join(a), " ".join([*a[:-1], f"x{r.randrange(10**6)}"])]
+    texts += [t for p in near_copies(r, 30, 200, 1) for t in p[:2]]
+    r.shuffle(texts)
+    fps, sets = [plain_fingerprint(t) for t in texts], [simhash.shingles(t.encode(), 5) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
+    group = classes(range(len(texts)), [(a, b) for a, b in pairs if (fps[a] ^ fps[b]).bit_count() <= 2])
+    root = classes(range(len(texts)), [(a, b) for a, b in pairs if group[a] == group[b] and simhash.similarity(sets[a], sets[b]) >= 0.8])
+    assert max(list(group.values()).count(g) for g in group.values()) > 32 and 60 < len(set(root.values())) < 90
+    real = simhash.shared_buckets
+    monkeypatch.setattr(simhash, "shared_buckets", lambda nodes: real(nodes.where("size(bands) = 1")))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert {x.doc_id for x in simhash.distinct_documents(docs, small=small).collect()} == set(root.values())
+
+
 def test_large_buckets_are_compared_in_full(spark):
     import random
 
