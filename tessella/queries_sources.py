@@ -51,9 +51,8 @@ def panel_store(spark, sf_dir):
 
 @query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 1000")
 def jdbc_scan(spark, sf_dir):
-    """By the embedded database that Spark ships; its tables live in this process, so this query is for one machine."""
-    url = f"jdbc:derby:memory:{store.scratch(spark, 'd').rpartition('/')[2].replace('-', '')}"
-    view(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal").coalesce(1).write.jdbc(f"{url};create=true", "S")
+    """By the embedded database that Spark ships, packed where every executor reads it."""
+    url = store.embedded(view(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), "S")
     with store.Connection(spark, url, user="APP", password="APP") as c:
         return c.query('SELECT "s_suppkey", "s_acctbal" FROM S WHERE "s_acctbal" > 1000')
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 FOLDER = "spark.tessella.panels"
@@ -61,6 +65,43 @@ def query(spark: SparkSession, sql: str, url: str, **options: str) -> DataFrame:
     return spark.read.format("jdbc").options(url=url, query=sql, **options).load()
 
 
+#: Column types of embedded tables by Spark's.
+EMBEDDED = {"int": "INTEGER", "bigint": "BIGINT", "float": "REAL", "double": "DOUBLE", "date": "DATE", "timestamp": "TIMESTAMP", "string": "CLOB"}
+
+
+def embedded(df: DataFrame, table: str) -> str:
+    """URL of a database, by the engine that Spark ships, with df as a table. That engine's databases belong to one
+    process while they can be written; so the driver fills and closes it, from files that the executors wrote, and packs
+    it into an archive in the shared folder, which any number of processes read at a time."""
+    spark = df.sparkSession
+    files, archive = scratch(spark, "rows"), scratch(spark, "database").removeprefix("file://") + ".jar"
+    if not archive.startswith("/"):
+        raise ValueError("an embedded database needs a spark.checkpoint.dir that is mounted as a folder (file://)")
+    df.write.option("escape", '"').csv(files)
+    files, folder, drivers = files.removeprefix("file://"), tempfile.mkdtemp(prefix="tessella-"), spark._jvm.java.sql.DriverManager
+    try:
+        connection = drivers.getConnection(f"jdbc:derby:{folder}/db;create=true", "APP", "APP")
+        try:
+            columns = ", ".join(f'"{n}" {EMBEDDED[kind]}' for n, kind in df.dtypes)
+            connection.createStatement().execute(f"CREATE TABLE {table} ({columns})")
+            for part in sorted(f for f in os.listdir(files) if f.startswith("part-")):
+                connection.createStatement().execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, '{table}', '{files}/{part}', ',', '\"', 'UTF-8', 0)")
+        finally:
+            connection.close()
+            try:
+                drivers.getConnection(f"jdbc:derby:{folder}/db;shutdown=true")
+            except Py4JJavaError as e:
+                if e.java_exception.getSQLState() != "08006":  # the state that tells a shutdown
+                    raise
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for at, _, names in os.walk(f"{folder}/db"):
+                for n in names:
+                    z.write(f"{at}/{n}", os.path.relpath(f"{at}/{n}", folder))
+    finally:
+        shutil.rmtree(folder)
+    return f"jdbc:derby:jar:({archive})db"
+
+
 class Connection:
     """A source behind a URL, opened with credentials of the caller's and closed by leaving its block: scans after that
     are refused. Executors open and close their own connections for each scan."""
