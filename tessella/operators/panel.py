@@ -158,14 +158,16 @@ def inverse_percentile(sample: DataFrame, queries: DataFrame, value: str, out: s
     rank, count = POSITIONS[method]
     by = Window.partitionBy(key)
     s = sample.where(F.col(value).isNotNull()).select(key, F.col(value).alias("__v"))
-    s = s.select(key, "__v", ((F.row_number().over(by.orderBy("__v")) + rank) / (F.count("*").over(by) + count) * 100).alias("__p"), F.lit(0).alias("__kind"))
+    s = s.select(key, "__v", F.row_number().over(by.orderBy("__v")).alias("__k"), (F.count("*").over(by) + count).alias("__n"), F.lit(0).alias("__kind"))
     both = queries.withColumns({"__v": F.col(value), "__kind": F.lit(1)}).unionByName(s, allowMissingColumns=True)
-    point = F.when(F.col("__kind") == 0, F.struct("__v", "__p"))
+    point = F.when(F.col("__kind") == 0, F.struct("__v", "__k", "__n"))
     # The next point above is the last one passed when the order is turned round: frames to the end cost their square.
-    up, down = by.orderBy(F.col("__v").asc_nulls_first(), "__kind"), by.orderBy(F.col("__v").desc_nulls_last(), F.desc("__kind"))
+    # Of equal values the last one counts below and the first one above, so their places are told apart by rank.
+    up, down = by.orderBy(F.col("__v").asc_nulls_first(), "__kind", "__k"), by.orderBy(F.col("__v").desc_nulls_last(), F.desc("__kind"), F.desc("__k"))
     passed = lambda order: F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     both = both.withColumns({"__lo": passed(up), "__hi": passed(down)}).where("__kind = 1")
     x, lo, hi = F.col("__v"), F.col("__lo"), F.col("__hi")
-    between = lo["__p"] + (x - lo["__v"]) / (hi["__v"] - lo["__v"]) * (hi["__p"] - lo["__p"])
-    found = F.when(lo.isNull() & hi.isNull() | x.isNull(), None).when(lo.isNull(), 0.0).when(x == lo["__v"], lo["__p"]).when(hi.isNull(), 100.0).otherwise(between)
+    place = lambda part: (lo["__k"] + rank + part) / lo["__n"] * 100
+    between = place((x - lo["__v"]) / (hi["__v"] - lo["__v"]))
+    found = F.when(lo.isNull() & hi.isNull() | x.isNull(), None).when(lo.isNull(), 0.0).when(x == lo["__v"], place(F.lit(0.0))).when(hi.isNull(), 100.0).otherwise(between)
     return both.withColumn(out, found).select(*queries.columns, out)

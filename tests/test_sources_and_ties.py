@@ -33,3 +33,15 @@ def test_embedded_rows_come_back_whole(spark):
     df = spark.createDataFrame(rows, "k bigint, x double, t string").repartition(3)
     url = store.embedded(df, "R")
     assert sorted(map(tuple, store.query(spark, "SELECT * FROM R", url, user="APP", password="APP").collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_inverse_percentile_of_repeated_values(spark):
+    from tessella.operators import panel as P
+
+    values = [float(v) for v in (10, 20, 20, 20, 20, 20, 20, 40, 40, 40, 40, 40, 40, 50)]
+    sample = spark.createDataFrame([(m, v) for m in range(8) for v in values], "month_idx int, me double").repartition(4)
+    asked = spark.createDataFrame([(m, x) for m in range(8) for x in (5.0, 10.0, 15.0, 20.0, 30.0, 40.0, 45.0, 60.0)], "month_idx int, me double")
+    below = {10: 1, 15: 1.5, 20: 7, 30: 7.5, 40: 13, 45: 13.5}
+    for r in P.inverse_percentile(sample, asked, "me").collect():
+        want = 0 if r.me < 10 else 100 if r.me > 50 else below[r.me] / 15 * 100
+        assert r.percentile == pytest.approx(want), r
