@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -17,6 +19,17 @@ from tessella.plans.expression import ExpressionError, parse
 LEAST_COVERAGE = 0.01
 
 
+@contextmanager
+def held(*frames: DataFrame) -> Iterator[list[DataFrame]]:
+    """frames, kept while the block runs: what several jobs read is worked out once."""
+    kept = [f.persist() for f in frames]
+    try:
+        yield kept
+    finally:
+        for f in kept:
+            f.unpersist()
+
+
 @dataclass
 class SignalResult:
     expression: str
@@ -137,12 +150,14 @@ def multi_model(returns: DataFrame, tables: dict[str, tuple[DataFrame, list[str]
     """A row for each factor model: LS alpha (annual), its t, Sharpe, GRS p, and whether it survives in the expected
     direction. With panel, a last row WLS_FMB: the signal's Fama-MacBeth t with market equity of the month before as weight."""
     out = []
-    for name, (table, factors, rf) in tables.items():
-        ls = R.factor_regressions(returns.where("ptf = 'LS'"), table, factors, rf).first()
-        grs = R.grs_test(returns, table, factors, rf).first()
-        ok = ls is not None and ls.talpha is not None and ls.talpha == ls.talpha
-        t = (-ls.talpha if expected_sign == "negative" else ls.talpha) if ok else None
-        out.append({"model": name, "alpha": ls.alpha * 12 if ok else None, "talpha": ls.talpha if ok else None, "sharpe": ls.sharpe if ok else None, "grs_p": grs.p_value if grs else None, "fmb_tstat": None, "status": "ok" if ok else "not_estimable", "reason": None if ok else "non_finite_alpha_t", "direction_consistent": bool(ok and t > 0), "survives_196": bool(ok and t > 1.96)})
+    # Returns and factors are a few rows a month.
+    with held(returns, *{id(t): t for t, _, _ in tables.values()}.values()) as (returns, *_):
+        for name, (table, factors, rf) in tables.items():
+            ls = R.factor_regressions(returns.where("ptf = 'LS'"), table, factors, rf).first()
+            grs = R.grs_test(returns, table, factors, rf).first()
+            ok = ls is not None and ls.talpha is not None and ls.talpha == ls.talpha
+            t = (-ls.talpha if expected_sign == "negative" else ls.talpha) if ok else None
+            out.append({"model": name, "alpha": ls.alpha * 12 if ok else None, "talpha": ls.talpha if ok else None, "sharpe": ls.sharpe if ok else None, "grs_p": grs.p_value if grs else None, "fmb_tstat": None, "status": "ok" if ok else "not_estimable", "reason": None if ok else "non_finite_alpha_t", "direction_consistent": bool(ok and t > 0), "survives_196": bool(ok and t > 1.96)})
     if panel is not None:
         t = {r.name: r.tstat for r in R.fama_macbeth(panel, [signal], weight="me").collect()}.get(signal)
         ok = t is not None and t == t

@@ -235,8 +235,9 @@ SELECT 'CAPM' AS model, round(b0 * 12, 6) + 0.0 AS alpha, round(t0, 4) + 0.0 AS
 UNION ALL SELECT 'WLS_FMB', NULL, NULL, round(tstat, 4) + 0.0, 'ok', tstat > 1.96 FROM nw""")
 def multi_model_alpha(spark, sf_dir):
     """Long-short alphas by factor model, and the signal's Fama-MacBeth t weighted by market equity."""
-    table = _factors(spark, sf_dir)
-    rows = evaluator.multi_model(_with_ls(spark, sf_dir), {"CAPM": (table, ["Mkt-RF"], "RF"), "TWO": (table, ["Mkt-RF", "SMB"], "RF")}, panel=signals(spark, sf_dir))
+    with evaluator.held(signals(spark, sf_dir).repartition("permno")) as (panel,):
+        table = _factors(spark, sf_dir, panel)
+        rows = evaluator.multi_model(_with_ls(spark, sf_dir, panel), {"CAPM": (table, ["Mkt-RF"], "RF"), "TWO": (table, ["Mkt-RF", "SMB"], "RF")}, panel=panel)
     df = spark.createDataFrame([{k: r[k] for k in ("model", "alpha", "talpha", "fmb_tstat", "status", "survives_196")} for r in rows], "model string, alpha double, talpha double, fmb_tstat double, status string, survives_196 boolean")
     return df.select("model", _r("alpha", 6), _r("talpha", 4), _r("fmb_tstat", 4), "status", "survives_196")
 
