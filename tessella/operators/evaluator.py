@@ -14,7 +14,7 @@ from tessella.operators import panel as P
 from tessella.operators import portfolio as S
 from tessella.operators import regression as R
 from tessella.plans.compiler import evaluate
-from tessella.plans.expression import ExpressionError, parse
+from tessella.plans.expression import Call, ExpressionError, Item, Number, parse
 
 LEAST_COVERAGE = 0.01
 
@@ -30,6 +30,11 @@ def held(*frames: DataFrame) -> Iterator[list[DataFrame]]:
             f.unpersist()
 
 
+def items(node: Call | Item | Number) -> set[str]:
+    """Names of the items that a parsed expression reads."""
+    return {node.name} if isinstance(node, Item) else set().union(*map(items, getattr(node, "args", ())))
+
+
 @dataclass
 class SignalResult:
     expression: str
@@ -60,7 +65,8 @@ class Evaluator:
     def prepared(self, expression: str) -> tuple[DataFrame, DataFrame]:
         """The stock-month sample with the raw signal, and with the prepared one."""
         signal = evaluate(self.firm_year, {"signal": expression}, winsorize_pct=1.0)
-        sample = P.monthly_sample(P.to_months(self.stock_month, signal, ["signal"]), self.first_month)
+        # The sample is chosen by returns and market equity, so signals come to its months only.
+        sample = P.to_months(P.monthly_sample(self.stock_month, self.first_month), signal, ["signal"])
         return sample, P.prepare_signal(sample, "signal", self.financials, self.microcaps)
 
     def evaluate(self, expression: str) -> SignalResult:
@@ -71,7 +77,7 @@ class Evaluator:
             out.coverage = P.coverage(sample, "signal").first()[0] or 0.0
             if out.coverage < LEAST_COVERAGE:
                 raise ValueError(f"coverage {out.coverage:.4f} is below {LEAST_COVERAGE}")
-            panel = panel.persist()
+            panel = panel.repartition("permno").persist()
             try:
                 rets = S.portfolio_returns(S.univariate_sort(panel, "signal", self.n_ptf, "nyse"), n_ptf=self.n_ptf).persist()
                 ls = S.long_short(rets, self.n_ptf).select("month_idx", F.lit("LS").alias("ptf"), F.col("ls").alias("ret"))
@@ -101,8 +107,15 @@ class Evaluator:
                 r.error = str(x)
         if not good:
             return out
-        wide = evaluate(self.firm_year, {k: expressions[i] for k, i in good.items()}, winsorize_pct=1.0)
-        sample = P.monthly_sample(P.to_months(self.stock_month, wide, [*good]), self.first_month).persist()
+        used = set().union(*(items(parse(expressions[i], {c.lower() for c in self.firm_year.columns})) for i in good.values())) | {"permno", "year", "form_year", "sic2"}
+        # Firm-years and stock-months are read for bounds, for the stocks that count and for the panel: once they are worked out.
+        with held(self.firm_year.select(*[c for c in self.firm_year.columns if c.lower() in used])) as (firms,):
+            wide = evaluate(firms, {k: expressions[i] for k, i in good.items()}, winsorize_pct=1.0)
+            sample = P.to_months(P.monthly_sample(self.stock_month, self.first_month), wide, [*good]).persist()
+            self._compared(sample, good, out)
+        return out
+
+    def _compared(self, sample: DataFrame, good: dict[str, int], out: list[SignalResult]) -> None:
         try:
             share = sample.agg(*[(F.count(k) / ((F.max("month_idx") - F.min("month_idx") + 1) * F.countDistinct("permno"))).alias(k) for k in good]).first()
             for k in [*good]:
@@ -114,14 +127,14 @@ class Evaluator:
                 self._figures(sample, good, out)
         finally:
             sample.unpersist()
-        return out
 
     def _figures(self, sample: DataFrame, good: dict[str, int], out: list[SignalResult]) -> None:
         panel = sample
         for k in good:
             panel = P.prepare_signal(panel, k, self.financials, self.microcaps)
         keys = ["signal_id"]
-        long = panel.unpivot(["month_idx", "permno", "ret", "me", "nyse"], [*good], "signal_id", "signal").persist()
+        # Dealt out as the lags of returns and of regressions both want it.
+        long = panel.unpivot(["month_idx", "permno", "ret", "me", "nyse"], [*good], "signal_id", "signal").repartition(*keys, "permno").persist()
         try:
             betas = R.univariate_betas(long, "signal", keys=tuple(keys))
             for r in R.newey_west(betas, keys=tuple(keys)).collect():

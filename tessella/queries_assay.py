@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -213,8 +214,11 @@ def double_bootstrap(spark, sf_dir):
     return A.double_bootstrap(spark, matrix, 1 / 3, n_rank=16, n_eval=20)
 
 
+@contextmanager
 def _evaluator(spark, sf_dir):
-    return evaluator.Evaluator(view(spark, sf_dir, "fx_firm_year"), view(spark, sf_dir, "fx_stock_month"), _factors(spark, sf_dir), ["Mkt-RF", "SMB"], first_month=FIRST)
+    """An evaluator whose stock-months are kept while the block runs; its factors are theirs."""
+    with evaluator.held(view(spark, sf_dir, "fx_stock_month").repartition("permno")) as (months,):
+        yield evaluator.Evaluator(view(spark, sf_dir, "fx_firm_year"), months, _factors(spark, sf_dir, months), ["Mkt-RF", "SMB"], first_month=FIRST)
 
 
 def _evaluated_sql(raw: str) -> str:
@@ -247,13 +251,15 @@ def _figures(spark, results):
 
 @query(f"{_evaluated_sql(_EXPRESSIONS['RATIO(SUB(revt, cogs), at)'])} SELECT 'RATIO(SUB(revt, cogs), at)' AS expression, {_FIGURES}, CAST(NULL AS VARCHAR) AS error FROM ev")
 def evaluate_signal(spark, sf_dir):
-    return _figures(spark, [_evaluator(spark, sf_dir).evaluate("RATIO(SUB(revt, cogs), at)")])
+    with _evaluator(spark, sf_dir) as ev:
+        return _figures(spark, [ev.evaluate("RATIO(SUB(revt, cogs), at)")])
 
 
 @query(f"{_evaluated_sql(_EXPRESSIONS['RATIO(xrd, at)'])} SELECT 'RATIO(xrd, at)' AS expression, {_FIGURES}, false AS failed FROM ev UNION ALL SELECT 'RATIO(xrd)', NULL, NULL, NULL, NULL, NULL, NULL, NULL, true UNION ALL SELECT 'NOSUCH(at)', NULL, NULL, NULL, NULL, NULL, NULL, NULL, true")
 def evaluate_batch(spark, sf_dir):
     """A generation as one batch: signals that can't be compiled are results of their own, and don't hold up the others."""
-    out = _figures(spark, _evaluator(spark, sf_dir).evaluate_all(["RATIO(xrd, at)", "RATIO(xrd)", "NOSUCH(at)"]))
+    with _evaluator(spark, sf_dir) as ev:
+        out = _figures(spark, ev.evaluate_all(["RATIO(xrd, at)", "RATIO(xrd)", "NOSUCH(at)"]))
     return out.withColumn("failed", F.col("error").isNotNull()).drop("error")
 
 

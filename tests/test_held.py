@@ -43,3 +43,16 @@ def test_factors_leave_held_stock_months_held(spark):
     # Means of few stocks may lie halfway between two roundings to 8 digits.
     assert told == [pytest.approx(t, abs=1.1e-8) for t in sorted(map(tuple, _factors(spark, SF).collect()))]
     assert not panel.storageLevel.useMemory
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_a_batch_reads_firm_years_once(spark):
+    from tessella.fixtures import view
+    from tessella.operators import evaluator
+    from tessella.queries_panel import FIRST, _factors
+
+    firms, seen = counted(spark, view(spark, SF, "fx_firm_year"))
+    ev = evaluator.Evaluator(firms, view(spark, SF, "fx_stock_month"), _factors(spark, SF), ["Mkt-RF", "SMB"], first_month=FIRST)
+    one, other = ev.evaluate_all(["RATIO(xrd, at)", "ADD(RANK(ib), REVT)"])
+    assert one.error is None and other.error is None and one.coverage < other.coverage
+    assert seen.value == view(spark, SF, "fx_firm_year").count()
